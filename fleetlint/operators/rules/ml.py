@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
+from fleetlint.functions.arrays import let
 from fleetlint.model import (
     CLASSIFIERS, CV_WORDS, FIT_CALLS, MODEL_WORDS, ROBUST_METRICS, SCALE_SENSITIVE,
     SCALER_WORDS, SEED_KEYWORDS, SPLIT_CALL, STOCHASTIC_CALLS, TRANSFORM_CALLS, literal_array,
@@ -37,11 +38,10 @@ def fit_before_split(scope_mode: str = "line") -> Column:
     ``source``: one per scope and call, module and function alike."""
     found = early_fits()
     if scope_mode == "line":
-        # The one-element wrapper binds the array, so it is computed once.
-        found = F.flatten(F.transform(F.array(found), lambda every: F.transform(
+        found = let(found, lambda every: F.transform(
             F.array_distinct(F.transform(every, lambda f: f.fit_line)),
             lambda ln: F.array_max(F.filter(every, lambda f: f.fit_line == ln)),
-        )))
+        ))
 
     def disc(f):
         if scope_mode == "line":

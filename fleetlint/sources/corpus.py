@@ -155,3 +155,42 @@ def raw_files(documents: DataFrame) -> DataFrame:
 def source_files(spark: SparkSession, sf_dir: str, admit_dirs=ADMITTED_DOT_DIRS) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return decode_files(keep_files(raw_files(documents), admit_dirs))
+
+
+# ------------------------------------------------------- repair inputs
+def _digit(finding_id: Column) -> Column:
+    """Last hex digit of an identifier as a number."""
+    return F.instr(F.lit("0123456789abcdef"), F.right(finding_id, F.lit(1))) - 1
+
+
+def test_runs(patches: DataFrame) -> DataFrame:
+    """Recorded test logs per patch and phase, chosen by the identifier."""
+    k = _digit(F.col("finding_id"))
+    before = F.struct(
+        F.lit("before").alias("phase"), F.when(k == 0, 1).otherwise(0).alias("exit_code"),
+        F.when(k == 0, "1 failed, 2 passed in 0.10s").otherwise("3 passed in 0.12s").alias("log"))
+    after = F.struct(
+        F.lit("after").alias("phase"),
+        F.when(k.isin(1, 2), 1).when(k == 3, 2).otherwise(0).alias("exit_code"),
+        F.when(k.isin(1, 2), "2 passed, 1 failed in 0.20s").when(k == 3, "1 error in 0.05s")
+        .otherwise("3 passed in 0.11s").alias("log"))
+    return patches.select("repo_id", "finding_id", F.inline(F.array(before, after)))
+
+
+PROPOSED_CODE = 'import subprocess\n\nsubprocess.run(["ls"])\nsubprocess.run(["ls"])\n'
+
+
+def proposals(findings: DataFrame) -> DataFrame:
+    """Proposals for the shell findings, some unsafe, some timid, some unknown."""
+    k = _digit(F.col("finding_id"))
+    shell = findings.filter("rule_id = 'SEC-SHELL'")
+    real = F.struct(
+        F.col("finding_id"), F.lit("The command runs in a shell.").alias("root_cause"),
+        F.lit("A list needs no shell.").alias("rationale"), F.lit(PROPOSED_CODE).alias("replacement_code"),
+        F.when(k < 8, 0.9).otherwise(0.8).alias("confidence"), (k % 4 != 3).alias("safe_to_apply"))
+    unknown = F.struct(
+        F.concat(F.lit("UNKNOWN-"), F.substring("finding_id", -16, 16)).alias("finding_id"),
+        F.lit("Not in the scan.").alias("root_cause"), F.lit("None.").alias("rationale"),
+        F.lit(PROPOSED_CODE).alias("replacement_code"), F.lit(0.9).alias("confidence"),
+        F.lit(True).alias("safe_to_apply"))
+    return shell.select(F.inline(F.array(real, unknown)))
