@@ -107,6 +107,7 @@ CLASSIFIERS = [
     "LogisticRegression", "RandomForestClassifier", "XGBClassifier",
     "LGBMClassifier", "SVC", "KNeighborsClassifier", "DecisionTreeClassifier",
 ]
+ACCURACY_WORDS = ["accuracy_score"]
 ROBUST_METRICS = [
     "f1_score", "roc_auc_score", "classification_report",
     "precision_score", "recall_score", "log_loss",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlint.functions import text as tx
 from fleetlint.functions.arrays import let
 from fleetlint.model import (
-    CLASSIFIERS, CV_WORDS, FIT_CALLS, MODEL_WORDS, ROBUST_METRICS, SCALE_SENSITIVE,
+    ACCURACY_WORDS, CLASSIFIERS, CV_WORDS, FIT_CALLS, MODEL_WORDS, ROBUST_METRICS, SCALE_SENSITIVE,
     SCALER_WORDS, SEED_KEYWORDS, SPLIT_CALL, STOCHASTIC_CALLS, TRANSFORM_CALLS, literal_array,
 )
 from fleetlint.operators.rules.hits import (
@@ -133,7 +133,7 @@ def no_stratify() -> Column:
 
 def raw_accuracy() -> Column:
     return only_if(
-        outside_tests() & imports_mention(["accuracy_score"]) & ~imports_mention(ROBUST_METRICS),
+        outside_tests() & imports_mention(ACCURACY_WORDS) & ~imports_mention(ROBUST_METRICS),
         hit("ML-MET-RAWACC", "LOW",
             F.concat(F.lit("Sole Reliance on 'accuracy_score' in '"), F.col("path"), F.lit("'"))),
     )

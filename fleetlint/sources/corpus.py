@@ -194,3 +194,34 @@ def proposals(findings: DataFrame) -> DataFrame:
         F.lit(PROPOSED_CODE).alias("replacement_code"), F.lit(0.9).alias("confidence"),
         F.lit(True).alias("safe_to_apply"))
     return shell.select(F.inline(F.array(real, unknown)))
+
+
+def trial_patches(documents: DataFrame) -> DataFrame:
+    """Hand-made patches for the gate, one per document and eight kinds.
+
+    0 clean, 1 forbidden module, 2 eval, 3 os.system, 4 path traversal,
+    5 text repeated six times, 6 does not parse, 7 parses but does not compile.
+    """
+    doc_id = F.col("doc_id")
+    kind = (doc_id % 8).cast("int")
+    notes = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
+    old_code = F.when(kind == 3, "import os\ndef run():\n    pass\n").otherwise("def run(x):\n    return int(x)\n")
+    new_code = F.element_at(F.array(*[F.lit(x) for x in [
+        "def run(x):\n    return float(x)\n",
+        "import socket.x\nimport json\ndef run(x):\n    return socket.x(x)\n",
+        "def run(x):\n    return eval(compile(x))\n",
+        "import os\ndef run():\n    os.system('ls')\n",
+        "def run(x):\n    return float(x)\n",
+        "def run(x):\n    return int(x)\n",
+        "def run(x:\n    return int(x)\n",
+        "def run(x):\n    return int(x)\nreturn 1\n",
+    ]]), kind + 1)
+    name = F.concat(F.lit("src/mod_"), doc_id.cast("string"), F.lit(".py"))
+    return documents.select(
+        F.floor(doc_id / 20).cast("bigint").alias("repo_id"),
+        F.concat(F.lit("TRIAL-"), doc_id.cast("string")).alias("finding_id"),
+        F.lit("TRIAL").alias("rule_id"),
+        F.when(kind == 4, F.concat(F.lit("../"), name)).otherwise(name).alias("path"),
+        F.concat(old_code, notes).alias("original_code"),
+        F.concat(new_code, F.when(kind == 5, F.repeat(notes, F.lit(6))).otherwise(notes)).alias("replacement_code"),
+    )
