@@ -290,12 +290,12 @@ def _import_rows(f):
 
 @query("j3_import_edges")
 def _(f):
-    return structure.import_edges(_import_rows(f))
+    return structure.import_edges(_import_rows(f), f.files)
 
 
 @query("j4_mutual_imports")
 def _(f):
-    return structure.mutual_pairs(structure.import_edges(_import_rows(f)))
+    return structure.mutual_pairs(structure.import_edges(_import_rows(f), f.files))
 
 
 @query("j5_fits_above_splits")

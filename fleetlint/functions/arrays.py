@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     An expression used in a lambda is otherwise evaluated once per element.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column that later filters cannot copy below themselves.
+
+    A filter on a projected column is pushed down by repeating the expression;
+    it is not pushed through a generator, and an outer one infers no filter.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def explode_once(df: DataFrame, keys: list[str], array: str, name: str) -> DataFrame:
+    """Explode an array that is itself a costly expression. A plain explode
+    infers ``size(array) > 0`` below it, which evaluates the array again."""
+    return df.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

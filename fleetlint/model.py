@@ -79,6 +79,11 @@ SECRET_PATTERNS = {
     "Exposed OpenAI Secret Key": r"sk-[a-zA-Z0-9]{32,48}",
     "Exposed AWS Access Key ID": r"AKIA[0-9A-Z]{16}",
 }
+# Lower-case fragments one of which every match of a pattern above contains.
+SECRET_HINTS = [
+    "api_key", "apikey", "secret_key", "auth_token", "access_token", "aws_secret_access_key",
+    "password", "ghp_", "sk-", "akia",
+]
 SECRET_EXCUSES = ["dummy", "example", "mock"]
 
 SQL_PHRASES = ["select ", "insert into ", "update ", "delete from "]

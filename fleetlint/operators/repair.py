@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
-from fleetlint.functions.arrays import let
+from fleetlint.functions.arrays import computed_once, explode_once, let
 from fleetlint.model import MIN_PROPOSAL_CONFIDENCE_PCT, RULES
 
 # Rule -> edit, in the order the edits are applied to one line.
@@ -275,10 +275,10 @@ def line_patches(annotated: DataFrame) -> DataFrame:
     """One patch per finding that has a line fix. ``annotated`` rows carry
     ``hits``, ``lines`` and ``original``."""
     fixable = F.filter("hits", lambda h: h.rule_id.isin(*LINE_FIXES))
-    rows = annotated.filter(F.size(fixable) > 0).select(
-        "repo_id", "path", "original", "lines", F.explode(fixable).alias("h"))
-    new = rows.withColumn("new_lines", rewrite(F.col("lines"), F.array(fix_of(F.col("h"))).cast(FIX_TYPE)))
+    rows = annotated.select("repo_id", "path", "original", "lines", fixable.alias("fixable"))
+    found = explode_once(rows, ["repo_id", "path", "original", "lines"], "fixable", "h")
     h = F.col("h")
+    new = computed_once(found, rewrite(F.col("lines"), F.array(fix_of(h)).cast(FIX_TYPE)), "new_lines")
     return new.select(
         "repo_id", hit_id(h).alias("finding_id"), h.rule_id.alias("rule_id"), "path",
         F.concat(F.lit("Auto-repair: "), h.title).alias("description"),
@@ -355,8 +355,8 @@ def merged_files(annotated: DataFrame, passed: DataFrame) -> DataFrame:
     chosen = F.filter("hits", lambda h: h.rule_id.isin(*LINE_FIXES)
                       & F.array_contains(F.col("finding_ids"), hit_id(h)))
     fixes = F.transform(chosen, fix_of).cast(FIX_TYPE)
-    new = rows.withColumn("fixes", fixes).filter(F.size("fixes") > 0).withColumn(
-        "new_lines", rewrite(F.col("lines"), F.col("fixes")))
+    picked = computed_once(rows, fixes, "fixes").filter(F.size("fixes") > 0)
+    new = computed_once(picked, rewrite(F.col("lines"), F.col("fixes")), "new_lines")
     return new.select(
         "repo_id", "repo_name", "path", rebuilt(F.col("new_lines")).alias("content"),
         changed(F.col("lines"), F.col("new_lines")).alias("edits"),

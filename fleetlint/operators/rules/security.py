@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
 from fleetlint.model import (
-    EXEC_CALLS, SECRET_EXCUSES, SECRET_PATTERNS, SHELL_CALLS, SQL_PHRASES, YAML_MODULES,
+    EXEC_CALLS, SECRET_EXCUSES, SECRET_HINTS, SECRET_PATTERNS, SHELL_CALLS, SQL_PHRASES, YAML_MODULES,
 )
 from fleetlint.operators.rules.hits import any_word, hit, is_test_path, line_text, none
 
 ANY_SECRET = "|".join(f"(?:{p})" for p in SECRET_PATTERNS.values())
 
 
+def may_hold_secret(content: Column) -> Column:
+    """Cheap substring test on the whole text; files that fail it are not searched."""
+    return any_word(F.lower(content), SECRET_HINTS)
+
+
 def secrets() -> Column:
     """Line x pattern, without a join: one combined search picks the lines,
     the single patterns are tried on those alone. Needs no parsed file."""
@@ -28,7 +33,7 @@ def secrets() -> Column:
             lambda n: n.isNotNull(),
         )
 
-    return F.when(F.col("is_python"), F.flatten(F.transform(suspects, lambda r: F.transform(
+    return F.when(F.col("is_python") & F.col("suspect"), F.flatten(F.transform(suspects, lambda r: F.transform(
         names(r.text), lambda n: hit(
             "SEC-SECRET", "CRITICAL", F.concat(n, F.lit(" Detected in Source Code")),
             line=r.line,

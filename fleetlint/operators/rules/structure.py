@@ -80,18 +80,18 @@ def import_targets(scanned: DataFrame) -> DataFrame:
     )
 
 
-def import_edges(scanned: DataFrame, salts: int = 8) -> DataFrame:
+def import_edges(scanned: DataFrame, modules: DataFrame, salts: int = 8) -> DataFrame:
     """Imports that resolve to a module of the same repository.
 
     A common import (``os``) of a huge repository is one key, so the edge side
     is salted and the far smaller, duplicate-free module side repeated.
     """
     targets = import_targets(scanned).withColumn("salt", F.pmod(F.xxhash64("src_stem"), F.lit(salts)))
-    modules = module_stems(scanned).select(
+    known = module_stems(modules).select(
         "repo_id", F.col("stem").alias("dst_stem"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"),
     )
-    return targets.join(modules, ["repo_id", "dst_stem", "salt"], "left_semi").select(
+    return targets.join(known, ["repo_id", "dst_stem", "salt"], "left_semi").select(
         "repo_id", "src_stem", "dst_stem"
     )
 
@@ -107,11 +107,11 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def circular_imports(scanned: DataFrame) -> DataFrame:
+def circular_imports(scanned: DataFrame, modules: DataFrame) -> DataFrame:
     """A mutual pair needs both stems to be importing files, hence modules, so
     the unresolved targets suffice and the resolving join is left out."""
     pairs = mutual_pairs(import_targets(scanned))
-    stems = module_stems(scanned)
+    stems = module_stems(modules)
     first = stems.select("repo_id", F.col("stem").alias("stem_a"), F.col("module_path").alias("path_a"))
     second = stems.select("repo_id", F.col("stem").alias("stem_b"), F.col("module_path").alias("path_b"))
     found = pairs.join(first, ["repo_id", "stem_a"]).join(second, ["repo_id", "stem_b"])

@@ -60,9 +60,9 @@ def scorecards(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """One row per repository, all eight categories present in each."""
     counted = tallies(findings)
     wide = repos.select("repo_id", "repo_name").join(counted, "repo_id", "left").na.fill(0)
+    scores = [tx.clamp(F.lit(100) - F.col(f"cost_{k}"), 10, 100) for k in range(len(CATEGORIES))]
     rows = []
-    for k, category in enumerate(CATEGORIES):
-        score = tx.clamp(F.lit(100) - F.col(f"cost_{k}"), 10, 100)
+    for k, (category, score) in enumerate(zip(CATEGORIES, scores)):
         rows.append(F.struct(
             F.lit(k + 1).alias("ord"),
             F.lit(category).alias("category"),
@@ -71,21 +71,19 @@ def scorecards(findings: DataFrame, repos: DataFrame) -> DataFrame:
             F.col(f"crit_{k}").alias("critical_count"),
             health_words(score).alias("summary"),
         ))
-    weighted = sum(
-        (F.col("categories")[k].score_tenths * w for k, w in enumerate(CATEGORY_WEIGHTS.values())), F.lit(0)
-    )
+    weighted = sum((s * w for s, w in zip(scores, CATEGORY_WEIGHTS.values())), F.lit(0))
     overall = tx.clamp(round_thousandths(weighted), 10, 100).cast("int")
     return (
-        wide.withColumn("categories", F.array(*rows))
-        .withColumn("overall_tenths", overall)
+        wide.withColumns({"overall_tenths": overall, "categories": F.array(*rows)})
         .select(
             "repo_id", "repo_name", "overall_tenths",
             (F.col("overall_tenths") / 10).alias("overall_score"),
             grade(F.col("overall_tenths")).alias("grade"),
             "total_issues", "critical_issues", "high_issues", "medium_issues", "low_issues",
             "categories",
-            F.map_from_entries(F.transform("categories", lambda c: F.struct(
-                c.category, c.score_tenths / 10))).alias("category_scores"),
+            F.map_from_arrays(
+                F.array(*[F.lit(c) for c in CATEGORIES]), F.array(*[s / 10 for s in scores])
+            ).alias("category_scores"),
         )
     )
 

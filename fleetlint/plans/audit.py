@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
+from fleetlint.functions.arrays import explode_once
 from fleetlint.model import (
     DOCKERFILES, EXEC_CALLS, FIT_CALLS, LICENSES, MANIFESTS, README_SECTIONS, READMES, RULE_IDS,
     SHELL_CALLS, SPLIT_CALL, STOCHASTIC_CALLS, HITS_TYPE, rule_dim,
@@ -21,7 +22,8 @@ from fleetlint.operators import scoring
 from fleetlint.operators.facts import extract_facts
 from fleetlint.operators.rules import FACTS_NEEDED, FILE_RULES, REPO_RULES, structure
 from fleetlint.operators.rules.hits import is_test_path, none
-from fleetlint.session import materialise
+from fleetlint.operators.rules.security import may_hold_secret
+from fleetlint.session import materialise, spread
 
 # Small text files whose content a rule looks at.
 NOTE_FILES = [*READMES, *DOCKERFILES, "requirements.txt", ".gitignore"]
@@ -44,6 +46,8 @@ def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
     want = tuple(sorted(set().union(*(FACTS_NEEDED.get(r, set()) for r in rules))))
     note = F.when(F.col("path").isin(*NOTE_FILES), F.col("content"))
     base = files.withColumn("note", note)
+    if "SEC-SECRET" in rules:
+        base = base.withColumn("suspect", may_hold_secret(F.col("content")))
     if want:
         code = base.withColumn("content", F.when(F.col("is_python"), F.col("content")))
         out = extract_facts(code, want, WATCHED_CALLS, with_lines=True)
@@ -54,7 +58,7 @@ def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
     if set(rules) <= PATH_ONLY | NOTE_RULES:
         return base.drop("content").withColumn("lines", tx.split_lines(F.col("note")))
     text = F.when(F.col("is_python"), F.col("content")).otherwise(F.col("note"))
-    return base.withColumn("lines", tx.split_lines(text)).drop("content")
+    return spread(base, "repo_id", "path").withColumn("lines", tx.split_lines(text)).drop("content")
 
 
 def file_hits(rules=RULE_IDS, scope_mode: str = "line"):
@@ -153,18 +157,24 @@ def repo_rows(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("repo_id").agg(*aggs)
 
 
-def hits_of(scanned: DataFrame, repos: DataFrame, rules=RULE_IDS) -> DataFrame:
-    """Every hit as a row ``(repo_id, hit)``, duplicates kept."""
+def hits_of(scanned: DataFrame, repos: DataFrame, rules=RULE_IDS, modules: DataFrame | None = None) -> DataFrame:
+    """Every hit as a row ``(repo_id, hit)``, duplicates kept.
+
+    ``modules`` may name a table of the same files that is cheaper to read
+    than ``scanned`` where only paths are needed.
+    """
+    modules = scanned if modules is None else modules
     parts = []
     if any(r in FILE_RULES for r in rules):
-        parts.append(scanned.select("repo_id", F.explode("hits").alias("hit")))
+        parts.append(explode_once(scanned, ["repo_id"], "hits", "hit"))
     of_repo = [rule() for rule_id, rule in REPO_RULES.items() if rule_id in rules]
     if of_repo:
-        parts.append(repos.select("repo_id", F.explode(F.concat(*of_repo)).alias("hit")))
+        wide = repos.select("repo_id", F.concat(*of_repo).alias("hits"))
+        parts.append(explode_once(wide, ["repo_id"], "hits", "hit"))
     if "ARCH-INIT" in rules:
-        parts.append(structure.missing_init(scanned))
+        parts.append(structure.missing_init(modules))
     if "ARCH-CIRC" in rules:
-        parts.append(structure.circular_imports(scanned))
+        parts.append(structure.circular_imports(scanned, modules))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -191,12 +201,12 @@ def to_findings(hits: DataFrame) -> DataFrame:
 def findings(files: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> DataFrame:
     """Findings of some rules, in one lazy plan."""
     scanned = scan_files(files, rules, scope_mode)
-    return to_findings(hits_of(scanned, repo_rows(scanned), rules))
+    return to_findings(hits_of(scanned, repo_rows(scanned), rules, files))
 
 
 @dataclass
 class Audit:
-    """Tables of one scan. The per-file rows are written once and shared."""
+    """Tables of one scan. Per-file rows and findings are written once and shared."""
 
     files: DataFrame
     rules: tuple = tuple(RULE_IDS)
@@ -212,7 +222,8 @@ class Audit:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return to_findings(hits_of(self.scanned, self.repos, self.rules))
+        hits = hits_of(self.scanned, self.repos, self.rules)
+        return materialise(to_findings(hits), "findings")
 
     @cached_property
     def scorecards(self) -> DataFrame:

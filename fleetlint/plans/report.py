@@ -29,7 +29,7 @@ def _lines(df: DataFrame, section: int, order: Column, texts: list[Column]) -> D
     present = F.filter(F.array(*texts), lambda x: x.isNotNull())
     return df.select(
         "repo_id", F.lit(section).alias("section"), order.cast("bigint").alias("ord"),
-        F.posexplode(present).alias("sub", "text"))
+        F.posexplode_outer(present).alias("sub", "text"))
 
 
 def _on_first(order: Column, text: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,29 @@ _RUNTIME_DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job of this package relies on."""
     for key, value in _RUNTIME_DEFAULTS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="fleetlint-code-"), "fleetlint_code")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
@@ -58,6 +76,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     shuffled; the hash keys make a retried task produce the same rows.
     """
     spark = df.sparkSession
+    ship(spark)
     wanted = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:
         return df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
 from fleetlint.model import IGNORE_DIRS, IGNORE_EXTENSIONS, MAX_FILE_BYTES
+from fleetlint.session import ship
 
 LISTING_SCHEMA = "root string, path string, is_dir boolean, size_bytes bigint"
 CONTENT_SCHEMA = "root string, path string, size_bytes bigint, content binary"
@@ -84,6 +85,7 @@ def list_trees(
     listed one at a time and redistributed, so that one very large tree is
     walked by many tasks; ignored directories are never entered.
     """
+    ship(spark)
     skip, admit = frozenset(IGNORE_DIRS), frozenset(admit_dirs)
     level = spark.createDataFrame([(r.rstrip("/"), "", True, 0) for r in roots], LISTING_SCHEMA)
     tasks = spark.sparkContext.defaultParallelism
