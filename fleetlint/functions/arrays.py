@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function returns, per JVM and arguments.
+
+    A large expression takes thousands of calls to the JVM to build; it is
+    unresolved, so it can be used in any number of queries.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def wrapper(*args) -> Column:
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapper
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times, also inside lambdas.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
-from fleetlint.functions.arrays import computed_once, explode_once, let
+from fleetlint.functions.arrays import built_once, computed_once, explode_once, let
 from fleetlint.model import MIN_PROPOSAL_CONFIDENCE_PCT, RULES
 
 # Rule -> edit, in the order the edits are applied to one line.
@@ -229,8 +229,9 @@ def _with_blocks(edited: Column, spans: Column) -> Column:
     ).text)
 
 
-def rewrite(lines: Column, fixes: Column) -> Column:
-    """New text per original line, see the module text."""
+@built_once
+def rewrite() -> Column:
+    """New text per original line, from the columns ``lines`` and ``fixes``."""
 
     def blocks_in(ls, fx):
         return F.filter(_lines_of(fx, "ML-LEAK-PREFIT"), lambda n: (
@@ -245,7 +246,7 @@ def rewrite(lines: Column, fixes: Column) -> Column:
         return F.when(F.size(blocks) == 0, single).otherwise(
             let(single, lambda e: let(spans_of(ls, blocks), lambda sp: _with_blocks(e, sp))))
 
-    return let(lines, lambda ls: let(fixes, lambda fx: let(
+    return let(F.col("lines"), lambda ls: let(F.col("fixes"), lambda fx: let(
         blocks_in(ls, fx), lambda blocks: body(ls, fx, blocks))))
 
 
@@ -278,7 +279,8 @@ def line_patches(annotated: DataFrame) -> DataFrame:
     rows = annotated.select("repo_id", "path", "original", "lines", fixable.alias("fixable"))
     found = explode_once(rows, ["repo_id", "path", "original", "lines"], "fixable", "h")
     h = F.col("h")
-    new = computed_once(found, rewrite(F.col("lines"), F.array(fix_of(h)).cast(FIX_TYPE)), "new_lines")
+    single = found.withColumn("fixes", F.array(fix_of(h)).cast(FIX_TYPE))
+    new = computed_once(single, rewrite(), "new_lines")
     return new.select(
         "repo_id", hit_id(h).alias("finding_id"), h.rule_id.alias("rule_id"), "path",
         F.concat(F.lit("Auto-repair: "), h.title).alias("description"),
@@ -356,7 +358,7 @@ def merged_files(annotated: DataFrame, passed: DataFrame) -> DataFrame:
                       & F.array_contains(F.col("finding_ids"), hit_id(h)))
     fixes = F.transform(chosen, fix_of).cast(FIX_TYPE)
     picked = computed_once(rows, fixes, "fixes").filter(F.size("fixes") > 0)
-    new = computed_once(picked, rewrite(F.col("lines"), F.col("fixes")), "new_lines")
+    new = computed_once(picked, rewrite(), "new_lines")
     return new.select(
         "repo_id", "repo_name", "path", rebuilt(F.col("new_lines")).alias("content"),
         changed(F.col("lines"), F.col("new_lines")).alias("edits"),

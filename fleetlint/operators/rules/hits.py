@@ -6,38 +6,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
+from fleetlint.functions.arrays import built_once
 from fleetlint.model import HIT_TYPE, HITS_TYPE
 
 
-def text_col(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("string")
+@built_once
+def _constant(name: str, value) -> Column:
+    return F.lit(value).alias(name)
 
 
-def hit(rule_id, severity, title, path=None, line=1, end=None, snippet=None,
-        detail=None, disc="", metadata=None, num=None, den=None) -> Column:
-    """One finding; texts that depend on the rule alone are joined later."""
+def _field(name: str, value) -> Column:
+    return value.alias(name) if isinstance(value, Column) else _constant(name, value)
 
-    def number(value, kind):
-        return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
 
+def hit(rule_id, severity, title, path=None, line=1, end=None, snippet=None,
+        detail=None, disc="", metadata=None, num=None, den=None) -> Column:
+    """One finding; texts that depend on the rule alone are joined later. The
+    cast of the whole struct gives every field its type."""
+    pairs = None if metadata is None else F.create_map(
+        *[x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))])
     return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        text_col(severity).alias("severity"),
-        text_col(title).alias("title"),
-        (F.col("path") if path is None else text_col(path)).alias("path"),
-        number(line, "int").alias("line_no"),
-        number(end, "int").alias("end_line_no"),
-        text_col(snippet).alias("code_snippet"),
-        text_col(detail).alias("detail"),
-        text_col(disc).alias("disc"),
-        (F.lit(None) if metadata is None else F.create_map(
-            *[x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))]
-        )).cast("map<string,string>").alias("metadata"),
-        number(num, "bigint").alias("metric_num"),
-        number(den, "bigint").alias("metric_den"),
+        _field("rule_id", rule_id),
+        _field("severity", severity),
+        _field("title", title),
+        _field("path", F.col("path") if path is None else path),
+        _field("line_no", line),
+        _field("end_line_no", end),
+        _field("code_snippet", snippet),
+        _field("detail", detail),
+        _field("disc", disc),
+        _field("metadata", pairs),
+        _field("metric_num", num),
+        _field("metric_den", den),
     ).cast(HIT_TYPE)
 
 
+@built_once
 def none() -> Column:
     return F.array().cast(HITS_TYPE)
 

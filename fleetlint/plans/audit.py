@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
-from fleetlint.functions.arrays import explode_once
+from fleetlint.functions.arrays import built_once, explode_once
 from fleetlint.model import (
     DOCKERFILES, EXEC_CALLS, FIT_CALLS, LICENSES, MANIFESTS, README_SECTIONS, READMES, RULE_IDS,
     SHELL_CALLS, SPLIT_CALL, STOCHASTIC_CALLS, HITS_TYPE, rule_dim,
@@ -63,6 +63,11 @@ def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
 
 def file_hits(rules=RULE_IDS, scope_mode: str = "line"):
     """All file rules as one array expression."""
+    return _file_hits(tuple(rules), scope_mode)
+
+
+@built_once
+def _file_hits(rules: tuple, scope_mode: str):
     scoped = {"ML-LEAK-PREFIT", "ML-PREP-NOPIPE"}
     parts = [
         rule(scope_mode) if rule_id in scoped else rule()

@@ -21,6 +21,22 @@ _RUNTIME_DEFAULTS = {
 _SHIPPED: set[str] = set()
 
 
+def local_session(cpus: int | str, app: str, memory: str = "12g", partitions: int | None = None) -> SparkSession:
+    """A local session for tests and benchmarks."""
+    spark = (
+        SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        .config("spark.sql.shuffle.partitions", str(partitions or cpus))
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", memory)
+        # Call sites are looked up for every column otherwise, which makes
+        # large expressions slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job of this package relies on."""
     for key, value in _RUNTIME_DEFAULTS.items():
