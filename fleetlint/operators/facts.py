@@ -36,6 +36,18 @@ PARSE_COLUMNS = "parse_ok boolean, error_line int, error_text string"
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith)
+_MARKED = frozenset((
+    ast.Call, ast.Assert, ast.BoolOp, ast.ClassDef, ast.Import, ast.ImportFrom, ast.JoinedStr,
+    *_FUNCTIONS, *_BRANCHES,
+))
+# Fields that never hold a node a rule looks at.
+_LEAF_FIELDS = frozenset((
+    "ctx", "op", "ops", "id", "attr", "kind", "type_comment", "level", "module", "is_async", "simple", "conversion",
+))
+_CHILD_FIELDS = {
+    kind: tuple(f for f in kind._fields if f not in _LEAF_FIELDS)
+    for kind in vars(ast).values() if isinstance(kind, type) and issubclass(kind, ast.AST)
+}
 _PROTOCOL = frozenset(FIT_CALLS + TRANSFORM_CALLS)
 
 
@@ -63,14 +75,24 @@ def parse_source(text: str, compiled: bool = False):
 
 
 def _breadth_first(tree):
-    nodes, parents = [tree], [-1]
-    position = 0
-    while position < len(nodes):
-        for child in ast.iter_child_nodes(nodes[position]):
-            nodes.append(child)
-            parents.append(position)
-        position += 1
-    return nodes, parents
+    """Nodes in the order of ``ast.walk`` without contexts and operators, the
+    position of each one's parent, and the positions of the marked kinds."""
+    nodes, parents, marked = [tree], [-1], []
+    for position, node in enumerate(nodes):  # the list grows as it is read
+        kind = node.__class__
+        if kind in _MARKED:
+            marked.append(position)
+        for name in _CHILD_FIELDS[kind]:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                for child in value:
+                    if isinstance(child, ast.AST):
+                        nodes.append(child)
+                        parents.append(position)
+            elif isinstance(value, ast.AST):
+                nodes.append(value)
+                parents.append(position)
+    return nodes, parents, marked
 
 
 def _span(node) -> str:
@@ -109,8 +131,9 @@ def _call_fact(call_id: int, node: ast.Call) -> dict:
     }
 
 
-def _scope_facts(nodes, parents, calls_at) -> list[dict]:
-    """Scopes that contain estimator or split calls, each with those calls."""
+def _scope_facts(nodes, parents, calls_at, all_calls) -> list[dict]:
+    """Scopes that contain estimator or split calls, each with those calls.
+    ``calls_at`` holds the facts of named calls, ``all_calls`` every position."""
     wanted = {
         i: c for i, c in calls_at.items()
         if (c["func_kind"] == "attr" and c["func_name"] in _PROTOCOL)
@@ -150,7 +173,7 @@ def _scope_facts(nodes, parents, calls_at) -> list[dict]:
     if "fit" in names and names & set(TRANSFORM_CALLS):
         for scope in scopes.values():
             scope["uses_pipeline"] = False
-        for i in calls_at:
+        for i in all_calls:
             up = parents[i]
             while up >= 0 and not isinstance(nodes[up], ast.Call):
                 up = parents[up]
@@ -182,7 +205,7 @@ def _def_fact(node, complexity: int, checks: int) -> dict:
 
 def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
     """Fact arrays of one parsed file; ``call_names`` limits the call list."""
-    nodes, parents = _breadth_first(tree)
+    nodes, parents, marked = _breadth_first(tree)
     out: dict = {name: [] for name in want}
     if call_names is not None and "scopes" in want:
         call_names = call_names | _PROTOCOL | {SPLIT_CALL}
@@ -191,7 +214,8 @@ def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
     calls_at: dict[int, dict] = {}
     defs_at: list[int] = []
     n_calls = 0
-    for i, node in enumerate(nodes):
+    for i in marked:
+        node = nodes[i]
         if isinstance(node, ast.Call):
             checks[i] = 1
             func = node.func
@@ -230,18 +254,11 @@ def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
     if "calls" in want:
         out["calls"] = list(calls_at.values())
     if "scopes" in want:
-        out["scopes"] = _scope_facts(nodes, parents, calls_at_all(nodes, calls_at))
+        every = [i for i in marked if isinstance(nodes[i], ast.Call)]
+        out["scopes"] = _scope_facts(nodes, parents, calls_at, every)
     return out
 
 
-def calls_at_all(nodes, known: dict[int, dict]) -> dict[int, dict]:
-    """Position -> fact for every call, also those left out of the call list."""
-    return {
-        i: known.get(i) or {"func_kind": "other", "func_name": None}
-        for i, node in enumerate(nodes) if isinstance(node, ast.Call)
-    }
-
-
 def extract_facts(
     files: DataFrame, want=tuple(FACT_TYPES), call_names=None,
     with_lines: bool = False, compiled: bool = False,
