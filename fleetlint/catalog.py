@@ -51,7 +51,7 @@ class Fleet:
 
     @cached_property
     def audit(self) -> plan.Audit:
-        return plan.Audit(self.files)
+        return plan.Audit(self.files, for_repair=True)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -350,7 +350,7 @@ def _(f):
 
 @query("j11_changed_files")
 def _(f):
-    return explore.changed_files(f.files, f.repair.files_after)
+    return explore.rewritten_files(f.files, f.repair.repaired)
 
 
 # -------------------------------------------------------------- aggregations

@@ -113,8 +113,18 @@ def compare_scans(before_cards: DataFrame, after_cards: DataFrame) -> DataFrame:
     })
 
 
+def rewritten_files(before: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """Which of the rewritten files are new and which replace another text;
+    only digests of the file table take part in the join."""
+    old = before.select("repo_id", "path", F.xxhash64("content").alias("h_before"))
+    new = rewritten.select("repo_id", "path", F.xxhash64("content").alias("h_after"))
+    change = F.when(F.col("h_before").isNull(), "added").when(F.col("h_before") != F.col("h_after"), "modified")
+    return new.join(old, ["repo_id", "path"], "left").select(
+        "repo_id", "path", change.alias("change")).filter("change is not null")
+
+
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files added, removed or different, by content digest."""
+    """Files of two full scans added, removed or different, by content digest."""
 
     def side(files, tag):
         return files.select("repo_id", "path", F.xxhash64("content", F.octet_length("content")).alias(tag))

@@ -274,10 +274,11 @@ def hit_id(h) -> Column:
 
 def line_patches(annotated: DataFrame) -> DataFrame:
     """One patch per finding that has a line fix. ``annotated`` rows carry
-    ``hits``, ``lines`` and ``original``."""
+    ``hits`` and ``original``, as scanned for repair."""
     fixable = F.filter("hits", lambda h: h.rule_id.isin(*LINE_FIXES))
-    rows = annotated.select("repo_id", "path", "original", "lines", fixable.alias("fixable"))
-    found = explode_once(rows, ["repo_id", "path", "original", "lines"], "fixable", "h")
+    rows = annotated.filter("original is not null").select("repo_id", "path", "original", fixable.alias("fixable"))
+    found = explode_once(rows, ["repo_id", "path", "original"], "fixable", "h")
+    found = found.withColumn("lines", tx.split_lines(F.col("original")))
     h = F.col("h")
     single = found.withColumn("fixes", F.array(fix_of(h)).cast(FIX_TYPE))
     new = computed_once(single, rewrite(), "new_lines")
@@ -353,7 +354,8 @@ def merged_files(annotated: DataFrame, passed: DataFrame) -> DataFrame:
     ``passed`` holds ``(repo_id, path, finding_ids)``; a file's findings are
     bounded by its size, so the array is too.
     """
-    rows = annotated.join(passed, ["repo_id", "path"])
+    texts = annotated.filter("original is not null").select("repo_id", "repo_name", "path", "original", "hits")
+    rows = texts.join(passed, ["repo_id", "path"]).withColumn("lines", tx.split_lines(F.col("original")))
     chosen = F.filter("hits", lambda h: h.rule_id.isin(*LINE_FIXES)
                       & F.array_contains(F.col("finding_ids"), hit_id(h)))
     fixes = F.transform(chosen, fix_of).cast(FIX_TYPE)

@@ -20,6 +20,7 @@ from fleetlint.model import (
 )
 from fleetlint.operators import scoring
 from fleetlint.operators.facts import extract_facts
+from fleetlint.operators.repair import LINE_FIXES
 from fleetlint.operators.rules import FACTS_NEEDED, FILE_RULES, REPO_RULES, structure
 from fleetlint.operators.rules.hits import is_test_path, none
 from fleetlint.operators.rules.security import may_hold_secret
@@ -45,7 +46,7 @@ def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
     """Files with ``lines``, ``note`` and the fact arrays the rules need."""
     want = tuple(sorted(set().union(*(FACTS_NEEDED.get(r, set()) for r in rules))))
     note = F.when(F.col("path").isin(*NOTE_FILES), F.col("content"))
-    base = files.withColumn("note", note)
+    base = files.withColumns({"note": note, "closed": F.col("content").endswith("\n")})
     if "SEC-SECRET" in rules:
         base = base.withColumn("suspect", may_hold_secret(F.col("content")))
     if want:
@@ -54,7 +55,7 @@ def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
         lines = F.when(F.col("is_python"), F.col("lines")).otherwise(tx.split_lines(F.col("note")))
         return out.withColumn("lines", lines)
     if set(rules) <= PATH_ONLY:
-        return base.drop("content", "note")
+        return base.drop("content", "note", "closed")
     if set(rules) <= PATH_ONLY | NOTE_RULES:
         return base.drop("content").withColumn("lines", tx.split_lines(F.col("note")))
     text = F.when(F.col("is_python"), F.col("content")).otherwise(F.col("note"))
@@ -85,8 +86,12 @@ def _import_roots():
         F.array().cast("array<string>")))))
 
 
-def compact(annotated: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> DataFrame:
-    """Rule hits and the per-file numbers later steps need; text is dropped."""
+def compact(annotated: DataFrame, rules=RULE_IDS, scope_mode: str = "line", for_repair: bool = False) -> DataFrame:
+    """Rule hits and the per-file numbers later steps need; text is dropped.
+
+    ``for_repair`` keeps the text of files that some line edit applies to, so
+    that repairs need neither a second parse nor a join with the file table.
+    """
     have = set(annotated.columns)
     path, note = F.col("path"), F.col("note")
     columns = ["repo_id", "repo_name", "path", "is_python", "loc"]
@@ -108,11 +113,17 @@ def compact(annotated: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> D
             F.when(docker, F.get(
                 F.filter("lines", lambda x: F.contains(x, F.lit("FROM"))), F.lit(0))).alias("docker_from"),
         ]
-    return annotated.select(*columns, file_hits(rules, scope_mode).alias("hits"))
+    if for_repair:
+        text = F.concat(F.array_join("lines", "\n"), F.when(F.col("closed"), "\n").otherwise(""))
+        wanted = F.exists("hits", lambda h: h.rule_id.isin(*LINE_FIXES))
+        columns.append(F.when(wanted, text).alias("original"))
+    return annotated.withColumn("hits", file_hits(rules, scope_mode)).select(*columns, "hits")
 
 
-def scan_files(files: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> DataFrame:
-    return compact(annotate(files, rules), rules, scope_mode)
+def scan_files(
+    files: DataFrame, rules=RULE_IDS, scope_mode: str = "line", for_repair: bool = False
+) -> DataFrame:
+    return compact(annotate(files, rules), rules, scope_mode, for_repair)
 
 
 def repo_rows(scanned: DataFrame) -> DataFrame:
@@ -216,10 +227,12 @@ class Audit:
     files: DataFrame
     rules: tuple = tuple(RULE_IDS)
     scope_mode: str = "line"
+    for_repair: bool = False
 
     @cached_property
     def scanned(self) -> DataFrame:
-        return materialise(scan_files(self.files, self.rules, self.scope_mode), "scan")
+        rows = scan_files(self.files, self.rules, self.scope_mode, self.for_repair)
+        return materialise(rows, "scan")
 
     @cached_property
     def repos(self) -> DataFrame:

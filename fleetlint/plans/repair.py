@@ -9,24 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.operators import repair, verdict
-from fleetlint.operators.rules import FACTS_NEEDED
-from fleetlint.plans.audit import Audit, annotate, file_hits
+from fleetlint.plans.audit import Audit, scan_files
 from fleetlint.session import materialise
 from fleetlint.sources.files import decode_files
 
 
 def fixable_rows(files: DataFrame) -> DataFrame:
-    """Files with lines, original text and the hits that have a line fix."""
-    rules = [r for r in repair.LINE_FIXES]
+    """Scan of the rules that have a line fix, text kept where one applies."""
     kept = files.filter(F.col("is_python") | (F.col("path") == "requirements.txt"))
-    rows = annotate(kept.withColumn("original", F.col("content")), rules)
-    facts = set().union(*(FACTS_NEEDED.get(r, set()) for r in rules))
-    return rows.withColumn("hits", file_hits(rules)).drop(*facts, "note")
+    return scan_files(kept, list(repair.LINE_FIXES), for_repair=True)
 
 
 @dataclass
 class Repair:
-    """Tables of one repair run over an audited fleet."""
+    """Tables of one repair run over an audited fleet.
+
+    With ``Audit(for_repair=True)`` the texts to edit are in the scan already;
+    otherwise the files are scanned once more, still without a join.
+    """
 
     audit: Audit
     runs_of: object  # function: patch table -> recorded test runs
@@ -38,10 +38,16 @@ class Repair:
             return None
         return repair.accepted_proposals(self.proposals, self.audit.findings)
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        if self.audit.for_repair:
+            return self.audit.scanned
+        return materialise(fixable_rows(self.audit.files), "fixable")
+
     @cached_property
     def patches(self) -> DataFrame:
         """All candidate patches, written once: they feed gate, rebuild and report."""
-        built_in = repair.line_patches(fixable_rows(self.audit.files)).unionByName(
+        built_in = repair.line_patches(self.rows).unionByName(
             repair.create_patches(self.audit.findings, self.audit.repos))
         if self.accepted is not None:
             proposed = repair.proposal_patches(self.accepted, self.audit.files)
@@ -61,9 +67,7 @@ class Repair:
     def repaired(self) -> DataFrame:
         """New content of every file that a verified patch changes."""
         by_file = verdict.passed_by_file(self.results)
-        merged = repair.merged_files(fixable_rows(
-            self.audit.files.join(by_file.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-        ), by_file).select("repo_id", "path", "content")
+        merged = repair.merged_files(self.rows, by_file).select("repo_id", "path", "content")
         passed = self.results.filter("overall_status = 'PASSED'").select(
             F.col("patch_id").alias("finding_id"))
         # Whole-file texts: created files and proposals. Of several for one
@@ -74,15 +78,26 @@ class Repair:
         return materialise(
             lines_only.select("repo_id", "path", "content").unionByName(whole), "repaired")
 
+    @cached_property
+    def repaired_files(self) -> DataFrame:
+        """The changed files with all ``source_files`` columns."""
+        names = self.audit.repos.select("repo_id", "repo_name")
+        return decode_files(self.repaired.join(names, "repo_id").withColumn(
+            "size_bytes", F.octet_length("content").cast("bigint")))
+
     @cached_property
     def files_after(self) -> DataFrame:
-        """The fleet with the repaired files in place."""
+        """The whole fleet with the changed files in place."""
         untouched = self.audit.files.join(self.repaired.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-        names = self.audit.repos.select("repo_id", "repo_name")
-        new = self.repaired.join(names, "repo_id").withColumn(
-            "size_bytes", F.octet_length("content").cast("bigint"))
-        return untouched.unionByName(decode_files(new))
+        return untouched.select(*self.audit.files.columns).unionByName(self.repaired_files)
 
     @cached_property
     def after(self) -> Audit:
-        return Audit(self.files_after, self.audit.rules, self.audit.scope_mode)
+        """Scan after the repair: only changed files are parsed again, the rows
+        of all others are taken from the scan before."""
+        old = self.audit
+        later = Audit(self.files_after, old.rules, old.scope_mode, old.for_repair)
+        fresh = scan_files(self.repaired_files, old.rules, old.scope_mode, old.for_repair)
+        kept = old.scanned.join(self.repaired.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+        later.scanned = materialise(kept.unionByName(fresh), "scan")
+        return later
