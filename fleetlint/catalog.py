@@ -19,7 +19,7 @@ from fleetlint.operators.rules.ml import early_fits
 from fleetlint.plans import audit as plan
 from fleetlint.plans import report
 from fleetlint.plans.repair import Repair
-from fleetlint.session import materialise, scratch_path, spread, tune
+from fleetlint.session import materialise, scratch_path, tune
 from fleetlint.sources import corpus
 from fleetlint.sources import files as src
 from fleetlint.streaming import arrivals, snapshots
@@ -47,7 +47,8 @@ class Fleet:
     def files(self) -> DataFrame:
         """The fleet's file table, written once as a real fleet would have it."""
         made = corpus.source_files(self.spark, self.dir)
-        return materialise(spread(made, "repo_id", "path"), "source_files")
+        tasks = self.spark.sparkContext.defaultParallelism
+        return materialise(made.repartition(tasks, "repo_id", "path"), "source_files")
 
     @cached_property
     def audit(self) -> plan.Audit:

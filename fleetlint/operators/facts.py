@@ -59,19 +59,31 @@ def split_text(text: str) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
+def compile_error(tree):
+    """Line and message of what only the compiler objects to, or two Nones."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(tree, "<source>", "exec")
+        return None, None
+    except SyntaxError as err:
+        return err.lineno, err.msg
+    except (ValueError, RecursionError, MemoryError) as err:
+        return None, f"{type(err).__name__}: {err}"
+
+
 def parse_source(text: str, compiled: bool = False):
     """Tree, or None with line and message of the error."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-            if compiled:
-                compile(tree, "<source>", "exec")
-            return tree, None, None
     except SyntaxError as err:
         return None, err.lineno, err.msg
     except (ValueError, RecursionError, MemoryError) as err:
         return None, None, f"{type(err).__name__}: {err}"
+    line, message = compile_error(tree) if compiled else (None, None)
+    return (tree, None, None) if message is None else (None, line, message)
 
 
 def _breadth_first(tree):

@@ -59,7 +59,8 @@ def tallies(findings: DataFrame) -> DataFrame:
 def scorecards(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """One row per repository, all eight categories present in each."""
     counted = tallies(findings)
-    wide = repos.select("repo_id", "repo_name").join(counted, "repo_id", "left").na.fill(0)
+    wide = repos.select("repo_id", "repo_name").join(counted, "repo_id", "left").na.fill(
+        0, [c for c in counted.columns if c != "repo_id"])
     scores = [tx.clamp(F.lit(100) - F.col(f"cost_{k}"), 10, 100) for k in range(len(CATEGORIES))]
     rows = []
     for k, (category, score) in enumerate(zip(CATEGORIES, scores)):

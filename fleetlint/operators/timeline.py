@@ -47,9 +47,11 @@ def snapshots_from_events(events: DataFrame) -> DataFrame:
 
 def record_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append; partitioned by day, since one folder per repository would be
-    millions of tiny files."""
+    millions of tiny files. Rows of one repository are spread over the files of
+    a day and sorted, so that a filter on it skips most of each file."""
     (snapshots.withColumn("snapshot_date", F.to_date("ts"))
-     .repartition("snapshot_date", F.pmod(F.xxhash64("repo_id"), F.lit(16)))
+     .repartition("snapshot_date", F.pmod(F.xxhash64("repo_id", "snapshot_id"), F.lit(16)))
+     .sortWithinPartitions("snapshot_date", "repo_id")
      .write.mode("append").partitionBy("snapshot_date").parquet(path))
 
 

@@ -38,6 +38,8 @@ NOTE_RULES = {
     "DEP-DEPR", "DEP-UNPIN", "DOC-SPARSE-README", "DOC-SECTIONS", "DEPLOY-DOCKER-LATEST",
     "DEPLOY-INCOMPLETE-GITIGNORE",
 }
+# Rules that look at Python files alone, one by one or together.
+CODE_RULES = set(FILE_RULES) - NOTE_RULES | {"ARCH-CIRC", "ARCH-INIT"}
 # Names of calls any rule looks at; other calls need not leave the parser.
 WATCHED_CALLS = [*EXEC_CALLS, "load", *SHELL_CALLS, *FIT_CALLS, SPLIT_CALL, *STOCHASTIC_CALLS]
 
@@ -214,8 +216,18 @@ def to_findings(hits: DataFrame) -> DataFrame:
     )
 
 
+def relevant(files: DataFrame, rules) -> DataFrame:
+    """Only the files some rules can look at; the filter reaches the scan."""
+    if set(rules) <= CODE_RULES:
+        return files.filter("is_python")
+    if set(rules) <= NOTE_RULES & set(FILE_RULES):
+        return files.filter(F.col("path").isin("requirements.txt", ".gitignore"))
+    return files
+
+
 def findings(files: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> DataFrame:
     """Findings of some rules, in one lazy plan."""
+    files = relevant(files, rules)
     scanned = scan_files(files, rules, scope_mode)
     return to_findings(hits_of(scanned, repo_rows(scanned), rules, files))
 

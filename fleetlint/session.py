@@ -19,6 +19,7 @@ _RUNTIME_DEFAULTS = {
 
 
 _SHIPPED: set[str] = set()
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str, app: str, memory: str = "12g", partitions: int | None = None) -> SparkSession:
@@ -60,13 +61,18 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    A local folder is chosen only when the session names none (tests).
+    Only a local session that names none (tests) gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="fleetlint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="fleetlint-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -89,11 +95,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy steps enough tasks when the input has very few splits.
 
     At scale the scan already yields more splits than cores and nothing is
-    shuffled; the hash keys make a retried task produce the same rows.
+    shuffled; the hash keys make a retried task produce the same rows. A plan
+    that shuffles already is left alone: asking for its partition count would
+    run the shuffle.
     """
     spark = df.sparkSession
     ship(spark)
     wanted = spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, *keys)

@@ -15,6 +15,9 @@ SOURCE_SCHEMA = (
     "repo_id bigint, repo_name string, path string, content string, size_bytes bigint, "
     "is_python boolean, loc int"
 )
+# Scan rows are kept in this many folders by repository, so that a batch reads
+# back only the folders of the repositories it touched.
+BUCKETS = 256
 WIDE_RULES = [r for r in RULE_IDS if r not in FILE_RULES]
 
 
@@ -39,14 +42,18 @@ def start_scan(spark: SparkSession, source: str, out: str, checkpoint: str, **tr
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows_path = f"{out}/scan/batch_id={batch_id}"
-        scan_files(batch).write.mode("overwrite").parquet(rows_path)
+        bucket = F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).cast("int")
+        scan_files(batch).withColumn("repo_bucket", bucket).write.mode("overwrite").partitionBy(
+            "repo_bucket").parquet(rows_path)
         fresh = spark.read.parquet(rows_path)
         of_files = to_findings(hits_of(fresh, None, list(FILE_RULES)))
         touched = fresh.select("repo_id").distinct()
+        # At most BUCKETS numbers.
+        folders = [r[0] for r in fresh.select("repo_bucket").distinct().collect()]
         so_far = spark.read.schema(
             T.StructType([*fresh.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{out}/scan")
         known = latest_rows(
-            so_far.filter(F.col("batch_id") <= batch_id).join(touched, "repo_id", "left_semi"))
+            so_far.filter((F.col("batch_id") <= batch_id) & F.col("repo_bucket").isin(folders)).join(touched, "repo_id", "left_semi"))
         of_repos = to_findings(hits_of(known, repo_rows(known), WIDE_RULES))
         of_files.withColumn("scope", F.lit("file")).unionByName(
             of_repos.withColumn("scope", F.lit("repository"))
