@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlint.llm import bpe, packing, quality_rules
+from fleetlint.llm import bpe, embeddings, html, packing, quality_rules, simhash, substring, toxicity
 from fleetlint.llm.common import table
 
 
@@ -17,6 +17,26 @@ def byte_encoder() -> dict:
     }
 
 
+def op1_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op2_html_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_encoder(), capacity=1024, end_id=2)
 
@@ -29,6 +49,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {
-    f.__name__: f for f in (op8_best_fit_packing, op9_quality_rules, op10_bpe_codec)
-}
+QUERIES = {f.__name__: f for f in (
+    op1_subspace_pigeonhole, op2_html_subsequence, op3_toxicity_machine,
+    op4_simhash_gray_index, op7_seed_and_extend, op8_best_fit_packing, op9_quality_rules, op10_bpe_codec,
+)}
