@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlint.llm import bpe, embeddings, html, packing, quality_rules, simhash, substring, toxicity
+from fleetlint.llm import (
+    bpe, embeddings, html, licenses, packing, quality_rules, simhash, site_quality, substring, toxicity,
+)
 from fleetlint.llm.common import table
 
 
@@ -33,6 +36,16 @@ def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents name no address: their source is the host, their language the path on it."""
+    return site_quality.scored(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
+def op6_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -51,5 +64,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_subspace_pigeonhole, op2_html_subsequence, op3_toxicity_machine,
-    op4_simhash_gray_index, op7_seed_and_extend, op8_best_fit_packing, op9_quality_rules, op10_bpe_codec,
+    op4_simhash_gray_index, op5_site_quality, op6_license_compression, op7_seed_and_extend, op8_best_fit_packing, op9_quality_rules, op10_bpe_codec,
 )}

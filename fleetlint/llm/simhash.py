@@ -342,3 +342,15 @@ def hex_of(fp: Column) -> Column:
 def linked(docs: DataFrame) -> DataFrame:
     """The contract's columns: 4-word shingles, links at 4 or fewer differing bits."""
     return groups(docs, shingle=4, radius=4).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every linked group, that with the smallest id, with all columns; one row of repeated ids.
+
+    Rows without an id cannot be told apart and stay.
+    """
+    found = groups(docs, shingle, radius, id_col, text_col)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col))
+    # Ids are joined first; rows of one id then lie in one partition already.
+    kept = docs.join(stay.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    return kept.select(*[column(c) for c in docs.columns]).unionByName(docs.where(column(id_col).isNull()))
