@@ -12,7 +12,7 @@ from fleetlint.functions import text as tx
 from fleetlint.model import (
     ACCURACY_WORDS, CLASSIFIERS, CV_WORDS, LICENSES, MANIFESTS, ROBUST_METRICS, RULE_IDS, SPLIT_CALL,
 )
-from fleetlint.operators import explore, facts, repair, scoring, timeline, verdict
+from fleetlint.operators import explore, facts, mldata, repair, scoring, timeline, verdict
 from fleetlint.operators.rules import structure
 from fleetlint.operators.rules.hits import imports_mention, is_test_path
 from fleetlint.operators.rules.ml import early_fits
@@ -627,6 +627,50 @@ def _(f):
         facts.extract_facts(src.python_files(f.files), (), compiled=True))
 
 
+# -------------------------------------------------------- rules turned to data
+@query("d1_contamination")
+def _(f):
+    return mldata.contamination(f.table("documents"), f.table("benchmark"))
+
+
+@query("d2_hash_split")
+def _(f):
+    return mldata.hash_split(f.table("documents").select("doc_id"), "doc_id")
+
+
+@query("d3_stratified_split")
+def _(f):
+    return mldata.stratified_split(f.table("labels"), "doc_id", ["quality", "toxic"])
+
+
+@query("d3_share_drift")
+def _(f):
+    split = mldata.stratified_split(f.table("labels"), "doc_id", ["quality", "toxic"])
+    return mldata.share_drift(split, ["quality", "toxic"])
+
+
+@query("d4_standardised")
+def _(f):
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    return mldata.standardised(f.table("lineitem"), ["l_orderkey", "l_linenumber"], "l_orderkey", columns).withColumn(
+        "z", F.round("z", 6))
+
+
+@query("d5_folds")
+def _(f):
+    return mldata.folds(f.table("labels").select("doc_id"), "doc_id", 5)
+
+
+@query("d6_class_metrics")
+def _(f):
+    return mldata.class_metrics(f.table("labels"), 1 - F.col("quality"), F.col("toxic"), [0, 1])
+
+
+@query("d7_text_secrets")
+def _(f):
+    return mldata.text_secrets(f.table("documents"), {"Quoted Token": r'token = "[0-9a-f]{40}"'})
+
+
 # ---------------------------------------------------------- scalar functions
 @query("f1_split_lines")
 def _(f):

@@ -68,7 +68,7 @@ def compile_error(tree):
         return None, None
     except SyntaxError as err:
         return err.lineno, err.msg
-    except (ValueError, RecursionError, MemoryError) as err:
+    except Exception as err:  # whatever one text provokes stays with its file
         return None, f"{type(err).__name__}: {err}"
 
 
@@ -80,7 +80,7 @@ def parse_source(text: str, compiled: bool = False):
             tree = ast.parse(text)
     except SyntaxError as err:
         return None, err.lineno, err.msg
-    except (ValueError, RecursionError, MemoryError) as err:
+    except Exception as err:
         return None, None, f"{type(err).__name__}: {err}"
     line, message = compile_error(tree) if compiled else (None, None)
     return (tree, None, None) if message is None else (None, line, message)
@@ -107,11 +107,48 @@ def _breadth_first(tree):
     return nodes, parents, marked
 
 
+class _Errors(list):
+    """What could not be told of one file; the other facts stay."""
+
+    def source_of(self, node) -> str | None:
+        """Source text of a node, or None if it cannot be written (too deep, too long a number)."""
+        try:
+            return ast.unparse(node)
+        except Exception as err:
+            self.append(f"line {getattr(node, 'lineno', 0)}: {type(err).__name__}")
+            return None
+
+    def guard(self, where: str, build, otherwise):
+        try:
+            return build()
+        except Exception as err:
+            self.append(f"{where}: {type(err).__name__}")
+            return otherwise
+
+
+def valid_text(value):
+    """The same value with every string (lone surrogates and all) as valid UTF-8."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "replace").decode()
+    if isinstance(value, list):
+        return [valid_text(v) for v in value]
+    if isinstance(value, dict):
+        return {k: valid_text(v) for k, v in value.items()}
+    return value
+
+
+def _array_of(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:  # a literal held a lone surrogate
+        return pa.array([valid_text(v) for v in values], kind)
+
+
 def _span(node) -> str:
     return f"{node.col_offset}-{node.end_lineno}:{node.end_col_offset}"
 
 
-def _call_fact(call_id: int, node: ast.Call) -> dict:
+def _call_fact(call_id: int, node: ast.Call, errors: _Errors) -> dict:
     kind, name, receiver = "other", None, None
     if isinstance(node.func, ast.Name):
         kind, name = "name", node.func.id
@@ -130,12 +167,12 @@ def _call_fact(call_id: int, node: ast.Call) -> dict:
         "n_args": len(node.args),
         # Source text is kept for estimator calls only; for all calls it
         # would outgrow the file itself.
-        "arg0_src": ast.unparse(node.args[0]) if protocol and node.args else None,
-        "call_src": ast.unparse(node) if protocol else None,
+        "arg0_src": errors.source_of(node.args[0]) if protocol and node.args else None,
+        "call_src": errors.source_of(node) if protocol else None,
         "kwargs": [
             {
                 "name": kw.arg,
-                "value_src": ast.unparse(kw.value) if kw.arg == "Loader" else None,
+                "value_src": errors.source_of(kw.value) if kw.arg == "Loader" else None,
                 "is_true": isinstance(kw.value, ast.Constant) and kw.value.value is True,
             }
             for kw in node.keywords
@@ -143,7 +180,7 @@ def _call_fact(call_id: int, node: ast.Call) -> dict:
     }
 
 
-def _scope_facts(nodes, parents, calls_at, all_calls) -> list[dict]:
+def _scope_facts(nodes, parents, calls_at, all_calls, errors) -> list[dict]:
     """Scopes that contain estimator or split calls, each with those calls.
     ``calls_at`` holds the facts of named calls, ``all_calls`` every position."""
     wanted = {
@@ -190,7 +227,7 @@ def _scope_facts(nodes, parents, calls_at, all_calls) -> list[dict]:
             while up >= 0 and not isinstance(nodes[up], ast.Call):
                 up = parents[up]
             # The text of an outermost call contains that of the calls in it.
-            if up < 0 and "ipeline" in (text := ast.unparse(nodes[i])):
+            if up < 0 and "ipeline" in (text := errors.source_of(nodes[i]) or ""):
                 if "Pipeline" in text or "make_pipeline" in text:
                     for at, _ in scope_chain(i):
                         if at in scopes:
@@ -215,8 +252,11 @@ def _def_fact(node, complexity: int, checks: int) -> dict:
     }
 
 
-def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
-    """Fact arrays of one parsed file; ``call_names`` limits the call list."""
+def facts_of(tree, call_names: frozenset | None, want: frozenset, errors: _Errors) -> dict:
+    """Fact arrays of one parsed file; ``call_names`` limits the call list.
+
+    A fact that cannot be told is left out and noted in ``errors``.
+    """
     nodes, parents, marked = _breadth_first(tree)
     out: dict = {name: [] for name in want}
     if call_names is not None and "scopes" in want:
@@ -233,7 +273,9 @@ def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
             func = node.func
             name = func.id if isinstance(func, ast.Name) else getattr(func, "attr", None)
             if call_names is None or name in call_names:
-                calls_at[i] = _call_fact(n_calls, node)
+                fact = errors.guard(f"line {node.lineno}", lambda: _call_fact(n_calls, node, errors), None)
+                if fact is not None:
+                    calls_at[i] = fact
             n_calls += 1
         elif isinstance(node, ast.Assert):
             checks[i] = 1
@@ -252,7 +294,7 @@ def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
             out["imports"].append({
                 "line": node.lineno, "kind": "import" if plain else "from",
                 "module": None if plain else node.module, "level": 0 if plain else node.level,
-                "names": [a.name for a in node.names], "src": ast.unparse(node),
+                "names": [a.name for a in node.names], "src": errors.source_of(node) or "",
             })
         elif isinstance(node, ast.JoinedStr) and "fstrings" in want:
             text = "".join(p.value for p in node.values if isinstance(p, ast.Constant)).lower()
@@ -262,12 +304,13 @@ def facts_of(tree, call_names: frozenset | None, want: frozenset) -> dict:
         for i in range(len(nodes) - 1, 0, -1):
             branches[parents[i]] += branches[i]
             checks[parents[i]] += checks[i]
-        out["defs"] = [_def_fact(nodes[i], 1 + branches[i], checks[i]) for i in defs_at]
+        made = (errors.guard("definition", lambda: _def_fact(nodes[i], 1 + branches[i], checks[i]), None) for i in defs_at)
+        out["defs"] = [d for d in made if d is not None]
     if "calls" in want:
         out["calls"] = list(calls_at.values())
     if "scopes" in want:
         every = [i for i in marked if isinstance(nodes[i], ast.Call)]
-        out["scopes"] = _scope_facts(nodes, parents, calls_at, every)
+        out["scopes"] = errors.guard("scopes", lambda: _scope_facts(nodes, parents, calls_at, every, errors), [])
     return out
 
 
@@ -285,7 +328,7 @@ def extract_facts(
     spark = files.sparkSession
     kept = [c for c in files.columns if c != "content"]
     ddl = ", ".join(
-        [PARSE_COLUMNS] + (["lines array<string>"] if with_lines else [])
+        [PARSE_COLUMNS, "fact_errors array<string>"] + (["lines array<string>"] if with_lines else [])
         + [f"{name} {FACT_TYPES[name]}" for name in want]
     )
     added = T._parse_datatype_string(ddl)
@@ -308,14 +351,13 @@ def extract_facts(
                     tree, line, message = parse_source(text, compiled)
                     row.update(parse_ok=tree is not None, error_line=line, error_text=message)
                     if tree is not None:
-                        try:
-                            row.update(facts_of(tree, names, wanted))
-                        except RecursionError as err:
-                            row.update(parse_ok=False, error_text=f"RecursionError: {err}")
+                        errors = _Errors()
+                        row.update(errors.guard("file", lambda: facts_of(tree, names, wanted, errors), {}))
+                        row["fact_errors"] = list(errors)
                 for c in new_columns:
                     columns[c].append(row.get(c, [] if c in wanted else None))
             arrays = [batch.column(c) for c in kept]
-            arrays += [pa.array(columns[c], arrow.field(c).type) for c in new_columns]
+            arrays += [_array_of(columns[c], arrow.field(c).type) for c in new_columns]
             yield pa.RecordBatch.from_arrays(
                 [a.cast(arrow.field(k).type) if a.type != arrow.field(k).type else a
                  for k, a in enumerate(arrays)],

@@ -98,7 +98,7 @@ def compact(annotated: DataFrame, rules=RULE_IDS, scope_mode: str = "line", for_
     path, note = F.col("path"), F.col("note")
     columns = ["repo_id", "repo_name", "path", "is_python", "loc"]
     if "parse_ok" in have:
-        columns += ["parse_ok", "error_line", "error_text"]
+        columns += ["parse_ok", "error_line", "error_text", "fact_errors"]
     if "imports" in have:
         columns.append(_import_roots().alias("import_roots"))
     if "defs" in have:

@@ -412,6 +412,58 @@ def _finals() -> dict[str, str]:
         SELECT doc_id, (n-1)::INT AS pos, regexp_extract(l[n], '^.*\\)([^)]*)$', 1) AS tail FROM (
           SELECT doc_id, l, unnest(generate_series(1, len(l))) AS n FROM (
             SELECT doc_id, string_split(text,{NL}) AS l FROM documents)) WHERE contains(l[n], ')')"""
+    gram = r"""list_distinct([array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)])"""
+    words = r"""string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w"""
+    s["d1_contamination"] = f"""
+        SELECT doc_id, count(k.g) AS matched, count(*) AS total FROM (
+          SELECT doc_id, unnest({gram}) AS g FROM (SELECT doc_id, {words} FROM documents)) d
+        LEFT JOIN (SELECT DISTINCT unnest({gram}) AS g FROM (SELECT {words} FROM benchmark)) k ON d.g = k.g GROUP BY doc_id"""
+    part = "CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'valid' ELSE 'test' END AS split"
+    at = "(('0x'||substr(md5({}), 1, 8))::BIGINT % {})::INT"
+    s["d2_hash_split"] = f"""
+        SELECT *, {part} FROM (SELECT doc_id, {at.format('doc_id::VARCHAR', 100)} AS bucket FROM documents)"""
+    strata = """
+        SELECT doc_id, quality, toxic, CASE WHEN r * 100 <= n * 20 THEN 'test' ELSE 'train' END AS split FROM (
+          SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS r,
+            count(*) OVER (PARTITION BY quality, toxic) AS n FROM labels)"""
+    s["d3_stratified_split"] = strata
+    s["d3_share_drift"] = f"""
+        SELECT *, abs(train_share - test_share) AS drift FROM (
+          SELECT quality, toxic, train, test, train * 100.0::DOUBLE / sum(train) OVER () AS train_share,
+            test * 100.0::DOUBLE / sum(test) OVER () AS test_share FROM (
+            SELECT quality, toxic, count(*) FILTER (WHERE split='train') AS train,
+              count(*) FILTER (WHERE split='test') AS test FROM ({strata}) GROUP BY ALL))"""
+    s["d4_standardised"] = f"""
+        WITH b AS (SELECT *, {at.format('l_orderkey::VARCHAR', 100)} AS bucket FROM lineitem),
+        x AS (SELECT l_orderkey, l_linenumber, {part}, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS name,
+          unnest([round(l_quantity*100)::BIGINT, round(l_extendedprice*100)::BIGINT, round(l_discount*100)::BIGINT]) AS v FROM b),
+        t AS (SELECT name, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v::HUGEINT*v)::DOUBLE AS ss FROM x
+          WHERE split='train' GROUP BY name)
+        SELECT l_orderkey, l_linenumber, split, name, round((v::DOUBLE - s/n) / nullif(sqrt((n*ss - s*s)/(n*n)), 0), 6) AS z
+        FROM x JOIN t USING (name)"""
+    s["d5_folds"] = f"""SELECT doc_id, {at.format("'fold:'||doc_id", 5)} AS fold FROM labels"""
+    s["d6_class_metrics"] = """
+        SELECT class, tp, fp, fn, CASE WHEN tp+fp>0 THEN tp::DOUBLE/(tp+fp) END AS "precision",
+          CASE WHEN tp+fn>0 THEN tp::DOUBLE/(tp+fn) END AS recall,
+          CASE WHEN 2*tp+fp+fn>0 THEN (2*tp)::DOUBLE/(2*tp+fp+fn) END AS f1, "right"::DOUBLE/n AS accuracy FROM (
+          SELECT class, count(*) FILTER (WHERE t=class AND p=class) AS tp, count(*) FILTER (WHERE t<>class AND p=class) AS fp,
+            count(*) FILTER (WHERE t=class AND p<>class) AS fn, count(*) FILTER (WHERE t=p) AS "right", count(*) AS n
+          FROM (SELECT 1-quality AS t, toxic AS p, unnest([0, 1]) AS class FROM labels) GROUP BY class)"""
+    # The source's patterns typed out once more, and the query's own one.
+    secrets = {
+        "Hardcoded Secret / API Token":
+            r"""(?i)(api_key|apikey|secret_key|auth_token|access_token|aws_secret_access_key|password)\s*=\s*['"][a-zA-Z0-9_.-]{12,}['"]""",
+        "Exposed GitHub Personal Access Token": "ghp_[a-zA-Z0-9]{36}",
+        "Exposed OpenAI Secret Key": "sk-[a-zA-Z0-9]{32,48}",
+        "Exposed AWS Access Key ID": "AKIA[0-9A-Z]{16}",
+        "Quoted Token": 'token = "[0-9a-f]{40}"',
+    }
+    s["d7_text_secrets"] = " UNION ALL ".join(f"""
+        SELECT doc_id, n::INT AS line_no, {quote(name)} AS pattern,
+          substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 80) AS snippet
+        FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (
+          SELECT doc_id, string_split(text, {NL}) AS l FROM documents))
+        WHERE regexp_matches(line, {quote(pattern)})""" for name, pattern in secrets.items())
     s["st1_scan_arrivals"] = f"SELECT {FCOLS} FROM findings"
     s["st2_snapshot_stream"] = "SELECT repo_id, snapshot_id, version, description FROM tl"
     return s

@@ -37,5 +37,6 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql_but_the_listing():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"s1_list_tree"}
+    corpus = {n for n in entry_point.queries() if n.startswith("op") or n == "pipeline"}
+    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) - corpus == {"s1_list_tree"}
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
