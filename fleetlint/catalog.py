@@ -14,7 +14,8 @@ from fleetlint.model import (
 )
 from fleetlint.operators import explore, facts, mldata, repair, scoring, timeline, verdict
 from fleetlint.operators.rules import structure
-from fleetlint.operators.rules.hits import imports_mention, is_test_path
+from fleetlint.operators.rules import UserRule
+from fleetlint.operators.rules.hits import hit, imports_mention, is_test_path
 from fleetlint.operators.rules.ml import early_fits
 from fleetlint.plans import audit as plan
 from fleetlint.plans import report
@@ -134,6 +135,11 @@ def _(f):
     return src.keep_files(f.raw, admit_dirs=()).select("repo_id", "path", "size_bytes")
 
 
+@query("s2_skipped_files")
+def _(f):
+    return src.skipped_files(f.raw, max_bytes=4000)
+
+
 @query("s3_decode")
 def _(f):
     return f.files.select("repo_id", "repo_name", "path", "is_python", "loc", F.md5("content").alias("digest"))
@@ -627,6 +633,36 @@ def _(f):
         facts.extract_facts(src.python_files(f.files), (), compiled=True))
 
 
+# ---------------------------------------------------------------- user rules
+def _own_rules():
+    """Files of over 20 lines with a print call; repositories with more test than source lines."""
+    prints = UserRule(
+        "OWN-PRINT", "Code Quality", facts=frozenset({"calls"}), calls=frozenset({"print"}), confidence_pct=70,
+        risk="Prints {x} times.", advice="Use a logger.",
+        hits=lambda: F.when(F.exists("calls", lambda c: c.func_name == "print"), F.array(hit(
+            "OWN-PRINT", "LOW", "Print Call",
+            detail=F.size(F.filter("calls", lambda c: c.func_name == "print")).cast("string")))))
+    untested = UserRule(
+        "OWN-TESTHEAVY", "Testing", level="repo", confidence_pct=60, risk="More tests than code.", advice="Check the code.",
+        hits=lambda: F.when(F.col("test_files") >= 1, F.array(hit(
+            "OWN-TESTHEAVY", "MEDIUM", "Has Tests", path=F.col("first_test")))))
+    return [prints, untested]
+
+
+def _own_audit(f):
+    return plan.Audit(f.files, rules=("TEST-NOTESTS", *_own_rules()))
+
+
+@query("u5_user_rules")
+def _(f):
+    return _own_audit(f).findings.select("rule_id", "repo_id", "category", "severity", "path", "confidence", "risk_explanation")
+
+
+@query("u5_user_rule_scores")
+def _(f):
+    return _own_audit(f).category_scores.select("repo_id", "category", "issue_count")
+
+
 # -------------------------------------------------------- rules turned to data
 @query("d1_contamination")
 def _(f):

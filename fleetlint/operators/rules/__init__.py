@@ -7,8 +7,17 @@ column expressions, so any set of them runs in a single pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+
+from fleetlint.model import RULES
 from fleetlint.operators.rules import deps, deploy, docs, ml, quality, security, structure, testing
 
+# Category -> place of its findings among those of equal severity.
+ANALYZER_ORDER = {r.category: r.analyzer_ord for r in RULES}
+
 FILE_RULES = {
     "ARCH-GOD": structure.god_file,
     "QUAL-EXC": quality.swallowed_exception,
@@ -72,3 +81,39 @@ FACTS_NEEDED = {
     "ML-MET-RAWACC": {"imports"},
     "ARCH-CIRC": {"imports"},
 }
+
+
+@dataclass(frozen=True)
+class UserRule:
+    """A rule of the user's own, given to ``Audit(rules=[...])`` beside the ids of built-in ones.
+
+    ``hits`` builds an array of ``hits.hit(...)``: over the facts and lines of
+    a file (``level`` "file") or over the counters of a repository ("repo").
+    ``facts`` names the fact arrays it reads and ``calls`` the functions whose
+    calls it looks at. ``category`` must be one of the scored ones. ``{x}`` in
+    the texts stands for a hit's detail.
+    """
+
+    rule_id: str
+    category: str
+    hits: Callable[[], Column]
+    level: str = "file"
+    facts: frozenset[str] = frozenset()
+    calls: frozenset[str] = frozenset()
+    confidence_pct: int = 80
+    risk: str = ""
+    advice: str = ""
+
+    def __post_init__(self):
+        if self.level not in ("file", "repo"):
+            raise ValueError(f"level {self.level!r} is neither file nor repo")
+        if self.category not in ANALYZER_ORDER:
+            raise ValueError(f"category {self.category!r} has no weight")
+
+
+def user_rules(rules) -> list[UserRule]:
+    return [r for r in rules if isinstance(r, UserRule)]
+
+
+def facts_needed(rules) -> set[str]:
+    return set().union(*(r.facts if isinstance(r, UserRule) else FACTS_NEEDED.get(r, set()) for r in rules))

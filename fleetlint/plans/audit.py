@@ -21,7 +21,7 @@ from fleetlint.model import (
 from fleetlint.operators import scoring
 from fleetlint.operators.facts import extract_facts
 from fleetlint.operators.repair import LINE_FIXES
-from fleetlint.operators.rules import FACTS_NEEDED, FILE_RULES, REPO_RULES, structure
+from fleetlint.operators.rules import ANALYZER_ORDER, FILE_RULES, REPO_RULES, facts_needed, structure, user_rules
 from fleetlint.operators.rules.hits import is_test_path, none
 from fleetlint.operators.rules.security import may_hold_secret
 from fleetlint.session import materialise, spread
@@ -46,14 +46,15 @@ WATCHED_CALLS = [*EXEC_CALLS, "load", *SHELL_CALLS, *FIT_CALLS, SPLIT_CALL, *STO
 
 def annotate(files: DataFrame, rules=RULE_IDS) -> DataFrame:
     """Files with ``lines``, ``note`` and the fact arrays the rules need."""
-    want = tuple(sorted(set().union(*(FACTS_NEEDED.get(r, set()) for r in rules))))
+    want = tuple(sorted(facts_needed(rules)))
+    calls = [*WATCHED_CALLS, *(c for r in user_rules(rules) for c in sorted(r.calls))]
     note = F.when(F.col("path").isin(*NOTE_FILES), F.col("content"))
     base = files.withColumns({"note": note, "closed": F.col("content").endswith("\n")})
     if "SEC-SECRET" in rules:
         base = base.withColumn("suspect", may_hold_secret(F.col("content")))
     if want:
         code = base.withColumn("content", F.when(F.col("is_python"), F.col("content")))
-        out = extract_facts(code, want, WATCHED_CALLS, with_lines=True)
+        out = extract_facts(code, want, calls, with_lines=True)
         lines = F.when(F.col("is_python"), F.col("lines")).otherwise(tx.split_lines(F.col("note")))
         return out.withColumn("lines", lines)
     if set(rules) <= PATH_ONLY:
@@ -76,6 +77,7 @@ def _file_hits(rules: tuple, scope_mode: str):
         rule(scope_mode) if rule_id in scoped else rule()
         for rule_id, rule in FILE_RULES.items() if rule_id in rules
     ]
+    parts += [rule.hits() for rule in user_rules(rules) if rule.level == "file"]
     # A null array (rule not applicable to the row) must not blank the rest.
     parts = [F.coalesce(p, none()) for p in parts]
     return F.concat(*parts) if parts else F.array().cast(HITS_TYPE)
@@ -183,9 +185,11 @@ def hits_of(scanned: DataFrame, repos: DataFrame, rules=RULE_IDS, modules: DataF
     """
     modules = scanned if modules is None else modules
     parts = []
-    if any(r in FILE_RULES for r in rules):
+    added = user_rules(rules)
+    if any(r in FILE_RULES for r in rules) or any(r.level == "file" for r in added):
         parts.append(explode_once(scanned, ["repo_id"], "hits", "hit"))
     of_repo = [rule() for rule_id, rule in REPO_RULES.items() if rule_id in rules]
+    of_repo += [F.coalesce(rule.hits(), none()) for rule in added if rule.level == "repo"]
     if of_repo:
         wide = repos.select("repo_id", F.concat(*of_repo).alias("hits"))
         parts.append(explode_once(wide, ["repo_id"], "hits", "hit"))
@@ -199,13 +203,27 @@ def hits_of(scanned: DataFrame, repos: DataFrame, rules=RULE_IDS, modules: DataF
     return out
 
 
-def to_findings(hits: DataFrame) -> DataFrame:
-    """Add identifier and the texts fixed per rule (broadcast of 37 rows)."""
+def to_findings(hits: DataFrame, rules=RULE_IDS) -> DataFrame:
+    """Add identifier and the texts fixed per rule (broadcast of one row per rule).
+
+    A hit of a rule without a row stays: it belongs to no category, counts
+    with no confidence and says so in its texts.
+    """
     spark = hits.sparkSession
     flat = hits.select("repo_id", "hit.*")
     line = F.coalesce(F.col("line_no").cast("string"), F.lit("-"))
     detail = F.coalesce("detail", F.lit(""))
-    return flat.join(F.broadcast(rule_dim(spark)), "rule_id").select(
+    dim = rule_dim(spark)
+    added = [
+        (r.rule_id, r.category, ANALYZER_ORDER[r.category], r.confidence_pct / 100.0, False, r.risk, r.advice)
+        for r in user_rules(rules)
+    ]
+    if added:
+        dim = dim.unionByName(spark.createDataFrame(added, dim.schema))
+    known = flat.join(F.broadcast(dim), "rule_id", "left").fillna({
+        "category": "Unknown", "analyzer_ord": 99, "confidence": 0.0, "auto_fixable": False,
+        "risk_text": "The rule is not in the rule table.", "advice_text": "Add the rule to the table."})
+    return known.select(
         tx.stable_id(F.col("rule_id"), F.col("repo_id").cast("string"), F.col("path"), line, F.col("disc"))
         .alias("finding_id"),
         "rule_id", "repo_id", "category", "severity", "title", "path", "line_no", "end_line_no",
@@ -229,7 +247,7 @@ def findings(files: DataFrame, rules=RULE_IDS, scope_mode: str = "line") -> Data
     """Findings of some rules, in one lazy plan."""
     files = relevant(files, rules)
     scanned = scan_files(files, rules, scope_mode)
-    return to_findings(hits_of(scanned, repo_rows(scanned), rules, files))
+    return to_findings(hits_of(scanned, repo_rows(scanned), rules, files), rules)
 
 
 @dataclass
@@ -253,7 +271,7 @@ class Audit:
     @cached_property
     def findings(self) -> DataFrame:
         hits = hits_of(self.scanned, self.repos, self.rules)
-        return materialise(to_findings(hits), "findings")
+        return materialise(to_findings(hits, self.rules), "findings")
 
     @cached_property
     def scorecards(self) -> DataFrame:

@@ -127,14 +127,31 @@ def skip_dir(name: Column, admit_dirs=ADMITTED_DOT_DIRS) -> Column:
     return hit & ~name.isin(*admit_dirs) if admit_dirs else hit
 
 
-def keep_files(files: DataFrame, admit_dirs=ADMITTED_DOT_DIRS) -> DataFrame:
-    """Drop ignored directories, binary extensions and files over 2 MiB."""
+def skip_reason(files: DataFrame, admit_dirs=ADMITTED_DOT_DIRS, max_bytes: int | None = MAX_FILE_BYTES) -> Column:
+    """Why a file is not scanned, or null. ``max_bytes`` is the size limit (2 MiB unless given; None: no limit).
+
+    A missing size is taken from the content, where there is one.
+    """
     dirs = F.split(tx.dir_name(F.col("path")), "/")
-    return files.filter(
-        (F.col("size_bytes") <= MAX_FILE_BYTES)
-        & ~F.lower(tx.suffix(F.col("path"))).isin(*IGNORE_EXTENSIONS)
-        & ~F.exists(dirs, lambda d: skip_dir(d, admit_dirs))
-    )
+    reason = F.when(F.exists(dirs, lambda d: skip_dir(d, admit_dirs)), "ignored directory").when(
+        F.lower(tx.suffix(F.col("path"))).isin(*IGNORE_EXTENSIONS), "ignored extension")
+    if max_bytes is not None:
+        size = F.col("size_bytes")
+        if "content" in files.columns:
+            size = F.coalesce(size, F.octet_length("content").cast("bigint"))
+        reason = reason.when(size > max_bytes, "too large")
+    return reason
+
+
+def keep_files(files: DataFrame, admit_dirs=ADMITTED_DOT_DIRS, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """The files to scan: none in ignored directories, with binary extensions or over the size limit."""
+    return files.filter(skip_reason(files, admit_dirs, max_bytes).isNull())
+
+
+def skipped_files(files: DataFrame, admit_dirs=ADMITTED_DOT_DIRS, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """The files that ``keep_files`` leaves out, with the reason."""
+    return files.withColumn("reason", skip_reason(files, admit_dirs, max_bytes)).filter("reason IS NOT NULL").select(
+        *[c for c in ("repo_id", "root", "path", "size_bytes") if c in files.columns], "reason")
 
 
 def decode_files(files: DataFrame) -> DataFrame:

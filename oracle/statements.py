@@ -170,6 +170,12 @@ def _finals() -> dict[str, str]:
         s["rule_" + rule.lower().replace("-", "_")] = f"SELECT {FCOLS} FROM findings WHERE rule_id={quote(rule)}"
     s["s2_skip_rules"] = "SELECT repo_id, path, size_bytes FROM files"
     s["s2_skip_rules_all_dot_dirs"] = "SELECT repo_id, path, size_bytes FROM kept_strict"
+    ignored = (f"len(list_filter(string_split(dir,'/'), lambda d: (d IN {names(model.IGNORE_DIRS)} OR starts_with(d, '.'))"
+               " AND d <> '.github')) > 0")
+    s["s2_skipped_files"] = f"""
+        SELECT * FROM (SELECT repo_id, path, size_bytes, CASE WHEN {ignored} THEN 'ignored directory'
+          WHEN lower(regexp_extract(base, '^.+(\\.[^.]+)$', 1)) IN {names(model.IGNORE_EXTENSIONS)} THEN 'ignored extension'
+          WHEN size_bytes > 4000 THEN 'too large' END AS reason FROM sized) WHERE reason IS NOT NULL"""
     s["s3_decode"] = "SELECT repo_id, repo_name, path, is_python, loc, md5(content) AS digest FROM files"
     s["s4_lookup"] = """
         SELECT w.repo_id, w.path, f.path IS NOT NULL AS found, f.loc FROM (
@@ -412,6 +418,22 @@ def _finals() -> dict[str, str]:
         SELECT doc_id, (n-1)::INT AS pos, regexp_extract(l[n], '^.*\\)([^)]*)$', 1) AS tail FROM (
           SELECT doc_id, l, unnest(generate_series(1, len(l))) AS n FROM (
             SELECT doc_id, string_split(text,{NL}) AS l FROM documents)) WHERE contains(l[n], ')')"""
+    # Template 18 is the only one that prints: once, in its second test.
+    own = """
+        SELECT 'OWN-PRINT' AS rule_id, repo_id, 'Code Quality' AS category, 'LOW' AS severity, path, 0.7::DOUBLE AS confidence,
+          'Prints 1 times.' AS risk_explanation FROM mods WHERE t=18
+        UNION ALL SELECT 'OWN-TESTHEAVY', repo_id, 'Testing', 'MEDIUM', first_test, 0.6::DOUBLE, 'More tests than code.'
+          FROM agg WHERE first_test IS NOT NULL
+        UNION ALL SELECT rule_id, repo_id, category, severity, path, confidence, risk_explanation FROM findings
+          WHERE rule_id='TEST-NOTESTS'"""
+    s["u5_user_rules"] = own
+    s["u5_user_rule_scores"] = """
+        SELECT a.repo_id, c.category, CASE c.category WHEN 'Code Quality' THEN coalesce(p.n, 0)
+            WHEN 'Testing' THEN (a.first_test IS NOT NULL)::BIGINT + coalesce(m.n, 0) ELSE 0 END AS issue_count
+        FROM agg a CROSS JOIN (SELECT DISTINCT category FROM rule_dim) c
+        LEFT JOIN (SELECT repo_id, count(*) AS n FROM mods WHERE t=18 GROUP BY repo_id) p ON p.repo_id=a.repo_id
+        LEFT JOIN (SELECT repo_id, count(*) AS n FROM findings WHERE rule_id='TEST-NOTESTS' GROUP BY repo_id) m
+          ON m.repo_id=a.repo_id"""
     gram = r"""list_distinct([array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)])"""
     words = r"""string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w"""
     s["d1_contamination"] = f"""
