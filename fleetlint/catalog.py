@@ -802,6 +802,19 @@ def _(f):
     return timeline.timeline(recorded).select("repo_id", "snapshot_id", "version", "description")
 
 
+@query("st2_late_rows")
+def _(f):
+    """A tenth of the events lands after all others; what is over a day behind then comes out as late."""
+    landing, out, checkpoint = (scratch_path(f.spark, n) for n in ("events", "late", "cp"))
+    later = F.col("event_id") % 10 == 0
+    for part in (~later, later):
+        f.table("events").filter(part).write.mode("append").parquet(landing)
+        stream = snapshots.read_event_stream(f.spark, landing)
+        snapshots.start_late_rows(stream, out, checkpoint).awaitTermination()
+    late = f.spark.read.schema(timeline.SNAPSHOT_SCHEMA + ", batch_id bigint").parquet(f"{out}/late")
+    return late.select("repo_id", "snapshot_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorecards of the whole fleet."""
     return fleet(spark, sf_dir).cards.select(

@@ -127,7 +127,24 @@ def compact(annotated: DataFrame, rules=RULE_IDS, scope_mode: str = "line", for_
 def scan_files(
     files: DataFrame, rules=RULE_IDS, scope_mode: str = "line", for_repair: bool = False
 ) -> DataFrame:
-    return compact(annotate(files, rules), rules, scope_mode, for_repair)
+    """A compact row per file. Only code and the few notes are read as text.
+
+    Built-in rules say nothing about any other file, so those are scanned for
+    their paths alone; the filter on the text branch reaches the file scan. A
+    rule of the user's own may look at any file, so it needs all of them.
+    """
+    if set(rules) <= PATH_ONLY or any(r.level == "file" for r in user_rules(rules)):
+        return compact(annotate(files, rules), rules, scope_mode, for_repair)
+    of_interest = F.col("is_python") | F.col("path").isin(*NOTE_FILES)
+    texts = compact(annotate(files.filter(of_interest), rules), rules, scope_mode, for_repair)
+    others = files.filter(~of_interest)
+    have = ("repo_id", "repo_name", "path", "is_python", "loc")
+    blank = {"hits": none()}
+    rest = others.select(*[
+        F.col(c.name) if c.name in have else blank.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name)
+        for c in texts.schema
+    ])
+    return texts.unionByName(rest)
 
 
 def repo_rows(scanned: DataFrame) -> DataFrame:

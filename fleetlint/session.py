@@ -92,18 +92,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy steps enough tasks when the input has very few splits.
+    """Deal rows to ``spark.fleetlint.scanPartitions`` tasks before a CPU-heavy step, where that is set.
 
-    At scale the scan already yields more splits than cores and nothing is
-    shuffled; the hash keys make a retried task produce the same rows. A plan
-    that shuffles already is left alone: asking for its partition count would
-    run the shuffle.
+    Meant for inputs of few splits, such as one file without row groups. At
+    scale it stays unset: the scan yields enough splits and nothing is
+    shuffled. The hash keys make a retried task produce the same rows.
     """
-    spark = df.sparkSession
-    ship(spark)
-    wanted = spark.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+    ship(df.sparkSession)
+    wanted = df.sparkSession.conf.get("spark.fleetlint.scanPartitions", None)
+    return df.repartition(int(wanted), *keys) if wanted else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlint.operators.timeline import snapshots_from_events
@@ -29,3 +30,23 @@ def start_recording(
 
     return (unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def start_late_rows(
+    snapshots: DataFrame, out: str, checkpoint: str, lateness: str = "1 day", **trigger
+) -> StreamingQuery:
+    """Write what ``start_recording`` drops as too late to ``out/late``: rows older than the
+    newest of all earlier batches by more than ``lateness``. A batch keeps one mark for the next."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id > 0:
+            newest = spark.read.parquet(f"{out}/marks/batch_id={batch_id - 1}").first()["newest"]
+        bound = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+        batch.where(F.col("ts") < bound).write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
+        batch.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("newest")).write.mode(
+            "overwrite").parquet(f"{out}/marks/batch_id={batch_id}")
+
+    return (snapshots.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -488,6 +488,9 @@ def _finals() -> dict[str, str]:
         WHERE regexp_matches(line, {quote(pattern)})""" for name, pattern in secrets.items())
     s["st1_scan_arrivals"] = f"SELECT {FCOLS} FROM findings"
     s["st2_snapshot_stream"] = "SELECT repo_id, snapshot_id, version, description FROM tl"
+    s["st2_late_rows"] = """
+        SELECT user_id::BIGINT AS repo_id, event_id AS snapshot_id FROM events WHERE event_id%10=0
+          AND ts < (SELECT max(ts) FROM events WHERE event_id%10<>0) - INTERVAL 1 DAY"""
     return s
 
 

@@ -85,3 +85,15 @@ def test_import_edges_with_salt_equal_a_plain_join(spark):
 def test_rounding_is_half_up_in_integers(spark):
     df = spark.createDataFrame([(7049,), (7050,), (7149,), (7150,)], "k int")
     assert [r[0] for r in df.select(scoring.round_thousandths(F.col("k"))).collect()] == [70, 71, 71, 72]
+
+
+def test_full_scan_reads_text_of_code_and_notes_only(spark, fleet_of, tmp_path):
+    path = str(tmp_path / "files")
+    fleet_of({"a": {"a.py": "x = 1\n", "data.json": "{}", "README.md": "# A\n"}}).write.parquet(path)
+    text = plan_text(plan.scan_files(spark.read.parquet(path)))
+    scans = [(part.split("PushedFilters")[1].split("\n")[0], part.split("ReadSchema")[1].split("\n")[0])
+             for part in text.split("FileScan")[1:]]
+    assert len(scans) == 2
+    assert any("is_python" in pushed and "content" in schema for pushed, schema in scans)
+    assert any("content" not in schema for _, schema in scans)
+    assert plan.scan_files(spark.read.parquet(path)).count() == 3
