@@ -193,7 +193,8 @@ def _(f):
 def _(f):
     log = scratch_path(f.spark, "timeline")
     for part in (0, 1):
-        timeline.record_snapshots(f.snapshots.filter(F.col("snapshot_id") % 2 == part), log)
+        for _again in range(2):  # a repeated run leaves no second copy
+            timeline.record_snapshots(f.snapshots.filter(F.col("snapshot_id") % 2 == part), log, f"part-{part}")
     return timeline.read_snapshots(f.spark, log).select(
         "repo_id", "snapshot_id", "overall_tenths", "total_issues", "fixes_applied")
 
@@ -201,7 +202,7 @@ def _(f):
 @query("k2_read_timeline")
 def _(f):
     log = scratch_path(f.spark, "timeline")
-    timeline.record_snapshots(f.snapshots, log)
+    timeline.record_snapshots(f.snapshots, log, "all")
     return timeline.read_snapshots(f.spark, log).select(
         "repo_id", "snapshot_id", F.size("category_scores").alias("n_scores"),
         F.try_element_at("category_scores", F.lit("Security")).alias("security"))
@@ -209,7 +210,11 @@ def _(f):
 
 @query("k3_diagnosis_json")
 def _(f):
-    records = report.diagnosis_records(f.audit)
+    """Written and read back."""
+    entries = timeline.timeline(f.snapshots)
+    out = scratch_path(f.spark, "diagnosis")
+    report.write_diagnosis(report.diagnosis_records(f.audit, f.repair.results, f.repair.patches, entries), out)
+    records = f.spark.read.schema("repo_id bigint, section string, key string, json string").json(out)
     return records.select(
         "repo_id", "section", "key", F.get_json_object("json", "$.title").alias("title"),
         F.get_json_object("json", "$.grade").alias("grade"),
@@ -342,7 +347,7 @@ def _(f):
 def _(f):
     even = F.instr(F.lit("02468ace"), F.right(F.col("finding_id"), F.lit(1))) > 0
     chosen = f.repair.patches.filter(even).select(F.col("finding_id").alias("patch_id"))
-    return verdict.applied_files(f.repair.results, chosen)
+    return verdict.applied_files(f.repair.applied, chosen)
 
 
 @query("j11_compare_scores")
@@ -444,7 +449,7 @@ def _(f):
 
 @query("a13_verdict_counts")
 def _(f):
-    return verdict.verdict_counts(f.repair.results)
+    return verdict.verdict_counts(f.repair.applied)
 
 
 # ------------------------------------------------------------ windows, top-k
@@ -571,6 +576,17 @@ def _(f):
     return f.repair.repaired.select("repo_id", "path", F.md5("content").alias("digest"))
 
 
+@query("r12_superseded")
+def _(f):
+    """One mutable default of each file gets a whole-file proposal, which leaves out the edit of the other."""
+    chosen = f.findings.filter("rule_id = 'QUAL-MUT'").groupBy("repo_id", "path").agg(
+        F.min("finding_id").alias("finding_id"))
+    proposals = chosen.select(
+        "finding_id", F.lit("Shared between calls.").alias("root_cause"), F.lit("x = 1\n").alias("replacement_code"),
+        F.lit(True).alias("safe_to_apply"), F.lit(0.9).alias("confidence"))
+    return Repair(f.audit, corpus.test_runs, proposals).superseded
+
+
 # ------------------------------------------------------------------ verdicts
 @query("g1_path_check")
 def _(f):

@@ -45,19 +45,23 @@ def snapshots_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def record_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append; partitioned by day, since one folder per repository would be
-    millions of tiny files. Rows of one repository are spread over the files of
-    a day and sorted, so that a filter on it skips most of each file."""
+def record_snapshots(snapshots: DataFrame, path: str, scan_id: str, writers: int = 16) -> None:
+    """Add the snapshots of one scan; recording the same scan again changes nothing.
+
+    A scan has a folder of its own, written over as a whole, and in it one
+    folder per day, since one per repository would be millions of tiny files.
+    Rows of one repository are spread over the ``writers`` files of a day and
+    sorted, so that a filter on it skips most of each file.
+    """
     (snapshots.withColumn("snapshot_date", F.to_date("ts"))
-     .repartition("snapshot_date", F.pmod(F.xxhash64("repo_id", "snapshot_id"), F.lit(16)))
+     .repartition("snapshot_date", F.pmod(F.xxhash64("repo_id", "snapshot_id"), F.lit(writers)))
      .sortWithinPartitions("snapshot_date", "repo_id")
-     .write.mode("append").partitionBy("snapshot_date").parquet(path))
+     .write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{path}/scan_id={scan_id}"))
 
 
 def read_snapshots(spark: SparkSession, path: str, repo_id: int | None = None) -> DataFrame:
     """The log with decoded scores; unreadable JSON gives an empty map."""
-    log = spark.read.schema(SNAPSHOT_SCHEMA + ", snapshot_date date").parquet(path)
+    log = spark.read.schema(SNAPSHOT_SCHEMA + ", scan_id string, snapshot_date date").parquet(path)
     if repo_id is not None:
         log = log.filter(F.col("repo_id") == repo_id)
     decoded = F.from_json("category_scores_json", "map<string,double>")

@@ -63,6 +63,27 @@ class Repair:
         runs = self.runs_of(self.patches.select("repo_id", "finding_id"))
         return verdict.verdicts(self.decisions, runs)
 
+    @cached_property
+    def superseded(self) -> DataFrame:
+        """Verified patches that the rebuilt file does not hold, with the one it holds instead.
+
+        A whole-file text replaces the line edits of its file and every later
+        text for it.
+        """
+        passed = self.results.filter("overall_status = 'PASSED'").select(F.col("patch_id").alias("finding_id"))
+        verified = self.patches.select("repo_id", "path", "finding_id", (F.size("edits") == 0).alias("whole")).join(
+            passed, "finding_id", "left_semi")
+        winners = verified.filter("whole").groupBy("repo_id", "path").agg(F.min("finding_id").alias("superseded_by"))
+        return materialise(
+            verified.join(winners, ["repo_id", "path"]).filter("finding_id <> superseded_by").select(
+                "repo_id", "path", "finding_id", "superseded_by"), "superseded")
+
+    @cached_property
+    def applied(self) -> DataFrame:
+        """The results without superseded patches: what counts as applied."""
+        gone = self.superseded.select(F.col("finding_id").alias("patch_id"))
+        return self.results.join(gone, "patch_id", "left_anti").select(*self.results.columns)
+
     @cached_property
     def repaired(self) -> DataFrame:
         """New content of every file that a verified patch changes."""

@@ -155,15 +155,40 @@ def report_lines(audit, results: DataFrame | None = None, entries: DataFrame | N
     return out
 
 
-def write_reports(lines: DataFrame, path: str) -> None:
-    """One folder per repository; its part files, in name order, are the report."""
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(parts, *LINE_ORDER).sortWithinPartitions(*LINE_ORDER)
-    ordered.select("repo_id", "text").write.partitionBy("repo_id").text(path)
+def _write_ordered(rows: DataFrame, path: str, order: list[str], buckets: int) -> None:
+    """Rows in order, in ``buckets`` folders by hash of the repository, which stays a column.
 
+    A folder per repository would be millions of tiny files; the hash lets a
+    reader of one repository open a single folder.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = rows.withColumn("bucket", _bucket(F.col("repo_id"), buckets))
+    keys = ["bucket", *order]
+    (bucketed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+     .write.option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").json(path))
 
-def diagnosis_records(audit, results: DataFrame | None = None) -> DataFrame:
-    """The whole diagnosis as JSON records ``(repo_id, section, key, json)``."""
+
+def _bucket(repo_id, buckets: int):
+    return F.pmod(F.xxhash64(repo_id.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+def write_reports(lines: DataFrame, path: str, buckets: int = 64) -> None:
+    """The lines of all reports as JSON rows; see ``read_report``."""
+    _write_ordered(lines.select(*LINE_ORDER, "text"), path, LINE_ORDER, buckets)
+
+
+def read_report(spark, path: str, repo_id: int, buckets: int = 64) -> DataFrame:
+    """The lines of one repository's report, in order; only its folder is read."""
+    key = F.lit(repo_id)
+    rows = spark.read.json(path).filter((F.col("bucket") == _bucket(key, buckets)) & (F.col("repo_id") == key))
+    return rows.orderBy(*LINE_ORDER).select("text")
+
+
+def diagnosis_records(
+    audit, results: DataFrame | None = None, patches: DataFrame | None = None, entries: DataFrame | None = None
+) -> DataFrame:
+    """The whole diagnosis as JSON records ``(repo_id, section, key, json)``: scorecard, findings and,
+    where given, validation results, patches (with their edits) and the timeline."""
     cards = audit.scorecards.join(audit.summaries.select("repo_id", "summary"), "repo_id").join(
         audit.repos.select("repo_id", "total_files", "python_files", "total_loc"), "repo_id")
 
@@ -177,11 +202,13 @@ def diagnosis_records(audit, results: DataFrame | None = None) -> DataFrame:
         records(audit.findings, "finding", "finding_id"))
     if results is not None:
         out = out.unionByName(records(results, "validation", "patch_id"))
+    if patches is not None:
+        out = out.unionByName(records(patches.drop("original_code"), "patch", "finding_id"))
+    if entries is not None:
+        out = out.unionByName(records(entries, "timeline", "version"))
     return out
 
 
-def write_diagnosis(records: DataFrame, path: str) -> None:
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["repo_id", "section", "key"]
-    (records.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-     .select("repo_id", "json").write.partitionBy("repo_id").text(path))
+def write_diagnosis(records: DataFrame, path: str, buckets: int = 64) -> None:
+    """The records as JSON rows ``repo_id, section, key, json`` in folders by hash of the repository."""
+    _write_ordered(records, path, ["repo_id", "section", "key"], buckets)

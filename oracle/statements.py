@@ -208,7 +208,10 @@ def _finals() -> dict[str, str]:
           CASE WHEN snapshot_id%50<>0 THEN overall_tenths::DOUBLE END AS security FROM snap"""
     s["k3_diagnosis_json"] = """
         SELECT repo_id, 'finding' AS section, finding_id AS key, title, NULL AS grade, NULL::BIGINT AS total_loc FROM findings
-        UNION ALL SELECT c.repo_id, 'scorecard', c.repo_name, NULL, c.grade, a.total_loc FROM cards c JOIN agg a ON c.repo_id=a.repo_id"""
+        UNION ALL SELECT c.repo_id, 'scorecard', c.repo_name, NULL, c.grade, a.total_loc FROM cards c JOIN agg a ON c.repo_id=a.repo_id
+        UNION ALL SELECT repo_id, 'validation', patch_id, NULL, NULL, NULL FROM results
+        UNION ALL SELECT repo_id, 'patch', finding_id, NULL, NULL, NULL FROM patches
+        UNION ALL SELECT repo_id, 'timeline', version, NULL, NULL, NULL FROM tl"""
     s["k4_report_lines"] = _report()
     s["k4_report_timeline"] = _timeline_lines()
     s["k5_counters"] = "SELECT repo_id, total_files, python_files, total_loc FROM agg"
@@ -355,6 +358,12 @@ def _finals() -> dict[str, str]:
         FROM patches p JOIN accepted a ON p.finding_id=a.finding_id"""
     s["r12_rebuilt_files"] = "SELECT repo_id, path, md5(content) AS digest FROM rebuilt"
 
+    k = digit("finding_id")
+    s["r12_superseded"] = f"""
+        SELECT f.repo_id, f.path, f.finding_id, w.superseded_by FROM findings f JOIN (
+          SELECT repo_id, path, min(finding_id) AS superseded_by FROM findings WHERE rule_id='QUAL-MUT' GROUP BY repo_id, path) w
+          ON f.repo_id=w.repo_id AND f.path=w.path AND f.finding_id<>w.superseded_by
+        WHERE f.rule_id='QUAL-MUT' AND {k} NOT IN (1,2,3) AND {digit('superseded_by')} NOT IN (1,2,3)"""
     s["g1_path_check"] = "SELECT finding_id, path, kind=4 AS unsafe FROM trials"
     s["g2_size_check"] = "SELECT finding_id, old_lines, new_lines, expands, adds_too_much FROM trials"
     s["g3_parse_check"] = "SELECT finding_id, parse_ok, compile_ok FROM trials"

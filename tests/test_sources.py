@@ -45,8 +45,7 @@ def test_report_files_are_whole_and_ordered(spark, fleet_of, tmp_path):
     lines = report.report_lines(audit)
     out = str(tmp_path / "reports")
     report.write_reports(lines, out)
-    parts = sorted((tmp_path / "reports" / "repo_id=0").glob("part-*"))
-    text = "".join(p.read_text() for p in parts)
+    text = "\n".join(r.text for r in report.read_report(spark, out, 0).collect())
     want = [r.text for r in lines.filter("repo_id = 0").orderBy("section", "ord", "sub").collect()]
     assert text.rstrip("\n").split("\n") == "\n".join(want).split("\n")
     assert text.startswith("# 🩺 Engineering Health Report\n**Repository:** `r`")
@@ -62,8 +61,9 @@ def test_timeline_log(spark, tmp_path):
             for k, score in enumerate([71, 68, 80, 80])]
     shots = spark.createDataFrame(rows, timeline.SNAPSHOT_SCHEMA)
     log = str(tmp_path / "log")
-    timeline.record_snapshots(shots.filter("snapshot_id < 2"), log)
-    timeline.record_snapshots(shots.filter("snapshot_id >= 2"), log)
+    for _ in range(2):
+        timeline.record_snapshots(shots.filter("snapshot_id < 2"), log, "a")
+    timeline.record_snapshots(shots.filter("snapshot_id >= 2"), log, "b")
     back = timeline.read_snapshots(spark, log, 1)
     assert [r.category_scores for r in back.orderBy("ts").collect()] == [{}] + [{"Security": 1.5}] * 3
     entries = timeline.timeline(back.select(*shots.columns)).orderBy("version_no").collect()
