@@ -199,6 +199,15 @@ def _(f):
         "repo_id", "snapshot_id", "overall_tenths", "total_issues", "fixes_applied")
 
 
+@query("k1_card_timeline")
+def _(f):
+    """From a scan's scorecards to the timeline."""
+    log = scratch_path(f.spark, "timeline")
+    timeline.record_snapshots(timeline.snapshots_from_cards(f.cards), log, "scan")
+    entries = timeline.timeline(timeline.read_snapshots(f.spark, log))
+    return entries.select("repo_id", "version", "overall_tenths", "total_issues", F.size("category_scores").alias("n_scores"))
+
+
 @query("k2_read_timeline")
 def _(f):
     log = scratch_path(f.spark, "timeline")
@@ -804,8 +813,11 @@ def _(f):
 @query("st1_scan_arrivals")
 def _(f):
     landing, out = scratch_path(f.spark, "landing"), scratch_path(f.spark, "stream")
-    f.files.write.parquet(landing)
-    arrivals.start_scan(f.spark, landing, out, scratch_path(f.spark, "cp")).awaitTermination()
+    checkpoint = scratch_path(f.spark, "cp")
+    third = F.pmod(F.xxhash64("repo_id", "path"), F.lit(3))
+    for part in range(3):  # files of one repository arrive in several batches
+        f.files.filter(third == part).write.mode("append").parquet(landing)
+        arrivals.start_scan(f.spark, landing, out, checkpoint).awaitTermination()
     return arrivals.current_findings(f.spark, out).select(*FINDING_COLUMNS)
 
 
