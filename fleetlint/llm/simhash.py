@@ -13,8 +13,8 @@ A node with more than ``limit`` members is not searched in one task: its
 members are filed again under pairs of blocks of the bits not yet shared, up to
 three levels deep, where at most 19 bits are left open.
 
-Only a spanning forest of each node's links leaves a task, so groups of many
-near copies cost no row per pair; connected groups are the same.
+Only a spanning forest of the links that a task finds leaves it, so groups of
+many near copies cost no row per pair; connected groups are the same.
 
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero and links like any other; fewer words than a shingle count as one
@@ -215,32 +215,60 @@ _LINKS = T.StructType([
 _SHORT = 64
 
 
-def _search_nodes(radius: int, limit: int):
-    """Over rows sorted by mask, key and Gray rank: links, and the nodes beyond ``limit`` (with null ``a``)."""
+class TaskLinks:
+    """Union-find by fingerprint over all nodes that one task searches; the smallest member is the root.
 
-    def batch_of(a, b, masks=(), keys=()):
-        n, m = len(a), len(masks)
-        return pa.RecordBatch.from_arrays([
-            pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()),
-            pa.array([*[None] * n, *masks], pa.int64()), pa.array([*[None] * n, *keys], pa.int64()),
-        ], names=_LINKS.names)
+    It holds the linked fingerprints of the task's partition only.
+    """
 
-    def one_node(fps: np.ndarray):
-        roots = search(fps, radius)
-        moved = np.flatnonzero(roots != np.arange(len(fps)))
-        return batch_of(fps[moved].view(np.int64).tolist(), fps[roots[moved]].view(np.int64).tolist())
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
+        return i
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist()):
+            i, j = self.root(i), self.root(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+
+    def edges(self) -> Iterator[tuple[int, int]]:
+        return ((i, self.root(i)) for i in self.up)
+
+
+def _search_nodes(radius: int, limit: int):
+    """Over rows sorted by mask, key and Gray rank: a spanning forest of the task's links, and the
+    nodes beyond ``limit`` (with null ``a``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = TaskLinks()
+        passed: list[tuple[int, int]] = []  # mask and key of nodes that are too large for one task
         held: list[np.ndarray] = []  # the open node: [mask, key, fp] rows
-        size, too_many = 0, False
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, too_many
-            if too_many:
-                yield batch_of([], [], [int(held[0][0, 0])], [int(held[0][0, 1])])
+        size = 0
+
+        def one_node(rows: np.ndarray) -> None:
+            fps = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+            roots = search(fps, radius)
+            moved = np.flatnonzero(roots != np.arange(len(fps)))
+            found.add(rows[moved, 2], rows[roots[moved], 2])
+
+        def close() -> None:
+            nonlocal held, size
+            if size > limit:
+                passed.append((int(held[0][0, 0]), int(held[0][0, 1])))
             elif size > 1:
-                yield one_node(np.concatenate(held)[:, 2].view(np.uint64))
-            held, size, too_many = [], 0, False
+                one_node(np.concatenate(held))
+            held, size = [], 0
+
+        def extend(rows: np.ndarray) -> None:
+            nonlocal held, size
+            size += len(rows)
+            held = [held[0] if held else rows[:1]] if size > limit else [*held, rows]
 
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
@@ -249,36 +277,35 @@ def _search_nodes(radius: int, limit: int):
             borders = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
             starts, ends = np.concatenate([[0], borders]), np.concatenate([borders, [len(rows)]])
             if held and (rows[0, :2] != held[0][0, :2]).any():
-                yield from close()
-            last = len(starts) - 1
-            inner = np.zeros(len(rows), bool)
-            for k in range(len(starts)) if last < 8 else [0, *np.flatnonzero(ends - starts > _SHORT).tolist(), last]:
-                part = rows[starts[k]: ends[k]]
-                if k == 0 or k == last:
-                    if k == last and last > 0 and held:
-                        yield from close()
-                    size += len(part)
-                    if size > limit:
-                        too_many, held = True, [part[:1]] if not held else held[:1]
-                    else:
-                        held.append(part)
-                    if k == 0 and last > 0:
-                        yield from close()
-                elif len(part) > limit:
-                    yield batch_of([], [], [int(part[0, 0])], [int(part[0, 1])])
-                elif len(part) > 1:
-                    yield one_node(part[:, 2].view(np.uint64))
-            if last >= 8:
-                short = (ends - starts > 1) & (ends - starts <= _SHORT)
-                short[[0, last]] = False
-                inner = np.repeat(short, ends - starts)
-                picked = rows[inner]
-                fps = picked[:, 2].view(np.uint64)
-                x, y = _small_links(picked[:, :2], np.ascontiguousarray(fps), radius)
-                if len(x):
-                    yield batch_of(picked[y, 2].tolist(), picked[x, 2].tolist())
+                close()
+            extend(rows[: ends[0]])
+            if len(starts) == 1:
+                continue
+            close()
+            sizes = ends - starts
+            inside = np.zeros(len(starts), bool)
+            inside[1:-1] = True  # nodes that lie in this batch as a whole
+            for k in np.flatnonzero(inside & (sizes > _SHORT)):
+                if sizes[k] > limit:
+                    passed.append((int(rows[starts[k], 0]), int(rows[starts[k], 1])))
+                else:
+                    one_node(rows[starts[k]: ends[k]])
+            picked = rows[np.repeat(inside & (sizes > 1) & (sizes <= min(_SHORT, limit)), sizes)]
+            for k in np.flatnonzero(inside & (sizes > limit) & (sizes <= _SHORT)):
+                passed.append((int(rows[starts[k], 0]), int(rows[starts[k], 1])))
+            x, y = _small_links(picked[:, :2], np.ascontiguousarray(picked[:, 2]).view(np.uint64), radius)
+            found.add(picked[x, 2], picked[y, 2])
+            extend(rows[starts[-1]:])
         if held:
-            yield from close()
+            close()
+        edges = list(found.edges())
+        n, m = len(edges), len(passed)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([*[e[0] for e in edges], *[None] * m], pa.int64()),
+            pa.array([*[e[1] for e in edges], *[None] * m], pa.int64()),
+            pa.array([*[None] * n, *[p[0] for p in passed]], pa.int64()),
+            pa.array([*[None] * n, *[p[1] for p in passed]], pa.int64()),
+        ], names=_LINKS.names)
 
     return run
 
