@@ -35,7 +35,7 @@ from fleetlint.llm.common import annotate, column
 from fleetlint.session import tune
 
 #: Most labelled documents that the machine is fitted on.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Terms that keep weights: at most so many, each of at least this chi-square and document count.
 TERMS, LEAST_CHI, LEAST_DOCS = 4_096, 15.0, 2
 SPACE = 1 << 20
@@ -103,14 +103,14 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 3
     none = Machine(np.log(share / (1 - share)) if n else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     if not n or labels.min() == labels.max():
         return none
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     terms = chosen_terms(flat, owner, labels)
     if not len(terms):
         return none
-    at = np.searchsorted(terms, flat)
-    at[at == len(terms)] = 0
-    keep = terms[at] == flat
-    flat, owner = at[keep], owner[keep]
+    place = np.full(SPACE, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    flat = place[flat]
+    flat, owner = flat[flat >= 0].astype(np.int64), owner[flat >= 0]
     sizes = np.bincount(owner, minlength=n)
     starts = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
@@ -179,13 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType()), False)]
     got = annotate(rows, ["labelled_id", "label"], "labelled_text", make, fields).select(
-        "row.labelled_id", "row.label", "terms").toArrow().combine_chunks()
+        "row.labelled_id", "row.label", "terms").toArrow()
     order = np.argsort(got["labelled_id"].to_numpy(), kind="stable")  # the same machine whatever the order of tasks
-    got = got.take(pa.array(order))
-    lists = got["terms"].combine_chunks()
-    flat = lists.flatten().to_numpy().astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    sizes = lists.value_lengths().to_numpy().astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return fit(flat, sizes, got["label"].to_numpy().astype(float))
+    if not len(order):
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+    lists = [v for chunk in got["terms"].chunks for v in chunk]
+    flat = np.concatenate([np.asarray(lists[k].values, np.int32) for k in order])
+    sizes = np.array([len(lists[k]) for k in order])
+    labels_ = got["label"].to_numpy()[order].astype(float)
+    del got, lists
+    return fit(flat, sizes, labels_)
 
 
 def scored(docs: DataFrame, machine: Machine, carry: list[str], text_col: str = "text") -> DataFrame:
