@@ -180,7 +180,8 @@ def write_reports(lines: DataFrame, path: str, buckets: int = 64) -> None:
 def read_report(spark, path: str, repo_id: int, buckets: int = 64) -> DataFrame:
     """The lines of one repository's report, in order; only its folder is read."""
     key = F.lit(repo_id)
-    rows = spark.read.json(path).filter((F.col("bucket") == _bucket(key, buckets)) & (F.col("repo_id") == key))
+    schema = "repo_id bigint, section int, ord bigint, sub int, text string, bucket int"
+    rows = spark.read.schema(schema).json(path).filter((F.col("bucket") == _bucket(key, buckets)) & (F.col("repo_id") == key))
     return rows.orderBy(*LINE_ORDER).select("text")
 
 

@@ -112,6 +112,36 @@ def fixed_hit(rule, severity, title, path, line=1, snippet="NULL", detail="NULL"
             f"{disc} AS disc, {num}::BIGINT AS metric_num, {den}::BIGINT AS metric_den")
 
 
+# Fixed values of the rules, typed from the source and not taken from the engine:
+# rule, category, confidence in percent, fixable.
+RULE_VALUES = [
+    ("ARCH-001", "Architecture", 90, False), ("ARCH-GOD", "Architecture", 95, False),
+    ("ARCH-INIT", "Architecture", 98, True), ("ARCH-CIRC", "Architecture", 92, False),
+    ("QUAL-EXC", "Code Quality", 98, True), ("QUAL-MUT", "Code Quality", 99, True),
+    ("QUAL-CMPX", "Code Quality", 92, False), ("QUAL-TYPE", "Code Quality", 90, False),
+    ("DEP-NOMANIFEST", "Reproducibility", 98, True), ("DEP-DEPR", "Reproducibility", 99, True),
+    ("DEP-UNPIN", "Reproducibility", 96, True),
+    ("SEC-SECRET", "Security", 97, True), ("SEC-EXEC", "Security", 99, True), ("SEC-YAML", "Security", 98, True),
+    ("SEC-SHELL", "Security", 95, True), ("SEC-SQL", "Security", 91, False),
+    ("TEST-NOTESTS", "Testing", 99, True), ("TEST-LOWRATIO", "Testing", 92, False), ("TEST-NOASSERT", "Testing", 95, True),
+    ("DOC-NOREADME", "Documentation", 99, True), ("DOC-SPARSE-README", "Documentation", 95, True),
+    ("DOC-SECTIONS", "Documentation", 90, True), ("DOC-LOWDOCSTRINGS", "Documentation", 93, False),
+    ("DOC-NOLICENSE", "Documentation", 98, True),
+    ("CICD-NOWORKFLOWS", "CI/CD", 98, True), ("DEPLOY-NODOCKER", "CI/CD", 92, True),
+    ("DEPLOY-DOCKER-LATEST", "CI/CD", 96, True), ("DEPLOY-NOGITIGNORE", "CI/CD", 99, True),
+    ("DEPLOY-INCOMPLETE-GITIGNORE", "CI/CD", 97, True),
+    ("ML-LEAK-PREFIT", "ML Engineering", 98, True), ("ML-LEAK-TESTFIT", "ML Engineering", 99, True),
+    ("ML-PREP-NOPIPE", "ML Engineering", 94, True), ("ML-PREP-UNSCALED", "ML Engineering", 91, False),
+    ("ML-VAL-NOSEED", "Reproducibility", 97, True), ("ML-VAL-NOCV", "ML Engineering", 88, False),
+    ("ML-MET-NOSTRAT", "ML Engineering", 92, True), ("ML-MET-RAWACC", "ML Engineering", 89, False),
+]
+# Category and weight in percent.
+WEIGHTS = [
+    ("Architecture", 12), ("Code Quality", 15), ("Testing", 15), ("ML Engineering", 20), ("Security", 15),
+    ("Documentation", 8), ("Reproducibility", 8), ("CI/CD", 7),
+]
+
+
 def ctes() -> dict[str, str]:
     out: dict[str, str] = {}
     out["docs"] = (
@@ -289,8 +319,9 @@ def ctes() -> dict[str, str]:
     out["hits"] = " UNION ALL ".join(f"SELECT {HIT} FROM {h}" for h in (
         "hit_tpl", "hit_god", "hit_secret", "hit_dep", "hit_ignore", "hit_repo", "hit_init", "hit_circ"))
     out["rule_dim(rule_id, category, analyzer_ord, confidence_pct, auto_fixable, risk, advice)"] = values(
-        (r.rule_id, r.category, r.analyzer_ord, r.confidence_pct, r.auto_fixable, r.risk, r.advice)
-        for r in model.RULES)
+        (rule_id, category, model.RULES_BY_ID[rule_id].analyzer_ord, confidence, fixable,
+         model.RULES_BY_ID[rule_id].risk, model.RULES_BY_ID[rule_id].advice)
+        for rule_id, category, confidence, fixable in RULE_VALUES)
     out["findings"] = """
         SELECT h.rule_id||'-'||substr(sha256(concat_ws('|', h.repo_id::VARCHAR, path, coalesce(line_no::VARCHAR,'-'), disc)),1,16)
             AS finding_id,
@@ -337,7 +368,7 @@ def score_ctes(findings: str, repos: str, tag: str) -> dict[str, str]:
     """Category scores and scorecards from a findings table."""
     out = {}
     out[f"catdim{tag}(ord, category, weight)"] = values(
-        (k + 1, c, w) for k, (c, w) in enumerate(model.CATEGORY_WEIGHTS.items()))
+        (k + 1, c, w) for k, (c, w) in enumerate(WEIGHTS))
     cost = ("CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 8 WHEN 'LOW' THEN 3 "
             "WHEN 'INFO' THEN 0 ELSE 5 END")
     out[f"cats{tag}"] = f"""
