@@ -18,13 +18,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from fleetlint.llm.common import annotate
 
@@ -33,6 +36,7 @@ CACHE = 300_000
 _CACHED_LENGTH = 48
 _HEAP_FROM = 40
 
+_HIGH = re.compile("[\u0800-\U0010ffff]")
 _UNICODE_SPACE_ONLY_IN_PYTHON = regex.compile("[\x1c-\x1f]")
 
 
@@ -47,6 +51,7 @@ class WordEncoder:
     """Encoder of a vocabulary with word-end tokens, read from a ``tokenizers`` file."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
         model = spec["model"]
@@ -68,6 +73,34 @@ class WordEncoder:
         self.inside = inside
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.fragments: dict[tuple[str, bool], tuple[str, ...]] = {}
+        self.letter: dict[str, bool] = {}
+
+    # -- letters younger than Python's tables -----------------------------
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Asked only how it sees characters that Python does not know yet."""
+        return Tokenizer.from_file(self.path)
+
+    @staticmethod
+    def unknown(text: str) -> bool:
+        return _HIGH.search(text) is not None and any(
+            c > "\u07ff" and unicodedata.category(c) == "Cn" for c in text)
+
+    def is_letter(self, char: str) -> bool:
+        """Whether the library's word pattern takes an unknown character for a letter or number."""
+        got = self.letter.get(char)
+        if got is None:
+            alone, joined = (self.library.encode(t, add_special_tokens=False).ids[0] for t in (":", ":" + char))
+            got = self.letter[char] = alone == joined
+        return got
+
+    def words_of(self, text: str) -> list[str]:
+        if text.isascii() or not self.unknown(text):
+            return self.words.findall(text)
+        # A symbol stands in for every unknown character that is no letter.
+        shadow = "".join("$" if c > "\u07ff" and unicodedata.category(c) == "Cn" and not self.is_letter(c) else c for c in text)
+        return [text[m.start(): m.end()] for m in self.words.finditer(shadow)]
 
     # -- one word ---------------------------------------------------------
 
@@ -140,7 +173,7 @@ class WordEncoder:
         if got is not None:
             return got
         tokens: list[str] = []
-        for word in self.words.findall(text):
+        for word in self.words_of(text):
             parts = self.cut("".join(map(self.letters.__getitem__, word.encode())))
             for part in parts[:-1]:
                 tokens.extend(self.fragment(part, False))
@@ -159,10 +192,13 @@ class WordEncoder:
             if part in self.special:
                 found.append((struct.pack("<I", self.special[part]), part.encode()))
                 continue
-            if not part.isascii():
+            if part.isascii():
+                part = part.lower()
+            elif self.unknown(part):
+                part = self.library.normalizer.normalize_str(part)
+            else:
                 # The library lowers letter by letter, without the final sigma.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             pieces = regex.split(r"[\s--[\x1c-\x1f]]+", part, flags=regex.V1) if (
                 _UNICODE_SPACE_ONLY_IN_PYTHON.search(part)) else part.split()
             found.extend(map(self.piece, pieces))

@@ -35,6 +35,9 @@ from fleetlint.session import tune
 #: Most labelled pages that the weights are taken from, and most kinds that get a weight of their own.
 SAMPLE, KINDS = 2_000, 4_096
 
+#: Score of a tag inside a container of content.
+INNER_TAG = -0.001
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
@@ -187,8 +190,9 @@ def extract(page: str, weights: Weights) -> str:
             values.append(value)
             scores.append(value * len(text.split()))
         else:
+            # Inside a container of content a tag is no border, whatever else it stands in.
             values.append(0.0)
-            scores.append(weights.tag(kind))
+            scores.append(INNER_TAG if any(named(c) > 0 for c in stack) else weights.tag(kind))
     start, end = best_run(scores)
     parts = []
     for (kind, text, _), value in zip(items[start:end], values[start:end]):

@@ -241,15 +241,17 @@ def cut_text(raw: bytes, stretches: list[dict]) -> bytes:
     """The text without the words of the stretches; kept words keep the white space before them."""
     words = raw.split()
     out: list[bytes] = []
-    at = 0
+    at, broken = 0, False
     for word, gone in zip(words, covered(len(words), stretches).tolist()):
         start = raw.index(word, at)
-        end = start + len(word)
-        if not gone:
-            out.append(raw[at:end])
-        elif out and out[-1] != b"\n" and b"\n" in raw[at:start]:
-            out.append(b"\n")  # a line that ended keeps its end
-        at = end
+        gap = raw[at:start]
+        if gone:
+            broken = broken or b"\n" in gap
+        else:
+            # A line that ended among the removed words keeps its end.
+            out.append((b"\n" if broken and b"\n" not in gap else gap) + word)
+            broken = False
+        at = start + len(word)
     return b"".join(out).strip(b" \t\n\r\x0b\x0c")
 
 

@@ -229,7 +229,7 @@ def test_plan_uses_every_piece_once(counts):
         for n in held:
             used[n] += many
     assert used == Counter(counts)
-    large = sum(c for n, c in counts.items() if n > 40)
+    large = sum(c for n, c in counts.items() if n > 30)
     bound = max(-(-sum(n * c for n, c in counts.items()) // 60), large)
     assert sum(many for many, _ in kinds) <= 1.5 * bound + 1
 
