@@ -122,7 +122,7 @@ for _rule in RULE_IDS:
 # ------------------------------------------------------------ sources, sinks
 @query("s1_list_tree")
 def _(f):
-    return src.list_trees(f.spark, [f.dir]).select("path", "size_bytes")
+    return src.tree_entries(f.files)
 
 
 @query("s2_skip_rules")

@@ -122,6 +122,23 @@ def load_trees(spark: SparkSession, roots: list[str], admit_dirs=ADMITTED_DOT_DI
     return decode_files(named)
 
 
+def tree_entries(files: DataFrame) -> DataFrame:
+    """Files and directories of the trees in a file table: ``repo_id, path, is_dir, depth, n_files, total_bytes``.
+
+    A directory sums up what lies below it; sums are combined before the shuffle.
+    """
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    own = files.select(
+        "repo_id", "path", F.lit(False).alias("is_dir"), F.lit(1).cast("bigint").alias("n_files"),
+        F.col("size_bytes").alias("total_bytes"))
+    dirs = files.select("repo_id", F.explode(above).alias("path"), "size_bytes").groupBy("repo_id", "path").agg(
+        F.lit(True).alias("is_dir"), F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("total_bytes"))
+    depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    return own.unionByName(dirs).withColumn("depth", depth)
+
+
 def skip_dir(name: Column, admit_dirs=ADMITTED_DOT_DIRS) -> Column:
     hit = name.isin(*IGNORE_DIRS) | name.startswith(".")
     return hit & ~name.isin(*admit_dirs) if admit_dirs else hit

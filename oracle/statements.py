@@ -168,6 +168,13 @@ def _finals() -> dict[str, str]:
     s: dict[str, str] = {}
     for rule in model.RULE_IDS:
         s["rule_" + rule.lower().replace("-", "_")] = f"SELECT {FCOLS} FROM findings WHERE rule_id={quote(rule)}"
+    s["s1_list_tree"] = """
+        SELECT repo_id, path, FALSE AS is_dir, 1::BIGINT AS n_files, size_bytes AS total_bytes,
+          (len(string_split(path, '/'))-1)::INT AS depth FROM files
+        UNION ALL SELECT repo_id, path, TRUE, count(*), sum(size_bytes)::BIGINT, (len(string_split(path, '/'))-1)::INT FROM (
+          SELECT repo_id, array_to_string(parts[1:k], '/') AS path, size_bytes FROM (
+            SELECT repo_id, size_bytes, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS k
+            FROM files)) GROUP BY repo_id, path"""
     s["s2_skip_rules"] = "SELECT repo_id, path, size_bytes FROM files"
     s["s2_skip_rules_all_dot_dirs"] = "SELECT repo_id, path, size_bytes FROM kept_strict"
     ignored = (f"len(list_filter(string_split(dir,'/'), lambda d: (d IN {names(model.IGNORE_DIRS)} OR starts_with(d, '.'))"
