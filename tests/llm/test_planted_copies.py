@@ -1,0 +1,70 @@
+"""Near copies of the pipeline: planted pairs of known similarity against brute force over shingles."""
+
+import random
+
+import pytest
+
+from fleetlint.llm import near_copies, simhash
+from test_near_copies import Union, corpus, documents
+
+WORDS = ["".join(random.Random(k).choices("abcdefghijklm", k=6)) for k in range(3000)]
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k: k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else {()})
+
+
+def jaccard(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def brute(texts, least=0.8):
+    groups = Union(texts)
+    for i in texts:
+        for j in texts:
+            if i < j and jaccard(texts[i], texts[j]) >= least:
+                groups.join(i, j)
+    return {i: groups.root(i) for i in texts}
+
+
+def planted(seed, similarities, n=200):
+    """Pairs of texts with other words at the end of the second, just so many that they are similar enough."""
+    rng, texts = random.Random(seed), {}
+    for s in similarities:
+        own, fill = rng.choices(WORDS, k=n), rng.choices(WORDS, k=n)
+        pair = [(" ".join(own), " ".join(own[: n - k] + fill[:k])) for k in range(n // 2)]
+        a, b = [p for p in pair if jaccard(*p) >= s][-1]
+        texts |= {len(texts): a, len(texts) + 1: b}
+    return texts
+
+
+def test_planted_pairs_are_all_found(spark):
+    steps = [0.8, 0.85, 0.9, 0.95]
+    texts = planted(3, steps * 25)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(documents(spark, texts)).collect()}
+    assert got == brute(texts)
+    assert all(got[k] == k - 1 for k in range(1, len(texts), 2))
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    """Texts that differ in too much, though their 64-bit fingerprints may be near."""
+    texts = planted(5, [0.6, 0.7, 0.75, 0.78] * 15)
+    assert all(jaccard(texts[k], texts[k + 1]) < 0.8 for k in range(0, len(texts), 2))
+    docs = documents(spark, texts)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(texts)
+
+
+@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 300])
+def test_groups_equal_brute_force(spark, chunk):
+    texts = corpus() | {100 + k: t for k, t in planted(9, [0.8] * 8).items()}
+    rng, own = random.Random(2), [WORDS[k] for k in range(150)]
+    for k in range(60):  # one dense group, with links that chain
+        words = list(own)
+        for at in rng.sample(range(150), rng.randrange(1, 7)):
+            words[at] = f"edit{k}"
+        texts[200 + k] = " ".join(words)
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs, chunk=chunk).collect()}
+    assert got == brute(texts)
