@@ -41,7 +41,7 @@ INNER_TAG = -0.001
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[/!?a-z](?:=\s*+(?:\"[^\"]{0,4000}\"|'[^']{0,4000}')|[^<>])*+>?"
+    r"|<[/!?a-z](?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>])*+>?"
     r"|[^<]+|<", re.I | re.S)
 _NAME = re.compile(r"</?([a-z][a-z0-9-]*)", re.I)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?\s*([\w-]+)""", re.I)
@@ -79,13 +79,28 @@ def named(kind: str) -> float:
     return -1.0 if parts & NO_CONTENT else 1.0 if parts & CONTENT else 0.0
 
 
+class Open:
+    """An open container with those around it; pages may nest as deep as they like."""
+
+    __slots__ = ("kind", "outer", "content", "mark", "score")
+
+    def __init__(self, kind: str, outer: "Open | None"):
+        lean = named(kind)
+        self.kind, self.outer = kind, outer
+        self.content = lean > 0 or outer is not None and outer.content  # inside a container of content
+        # The innermost one whose name says something, if any.
+        self.mark: str | None = kind if lean or "." in kind else outer.mark if outer else None
+        self.score: float | None = None  # see Weights.word
+
+
 class Items:
-    """Words and tags of a page, in order: ``(kind of tag or "", text, open containers)``."""
+    """Words and tags of a page, in order: ``(kind of tag or "", text, innermost open container)``."""
 
     def __init__(self, page: str):
-        self.items: list[tuple[str, str, tuple[str, ...]]] = []
-        stack: list[tuple[str, str]] = []
-        open_now: tuple[str, ...] = ()
+        self.items: list[tuple[str, str, Open | None]] = []
+        stack: list[tuple[str, Open]] = []
+        opened: Counter = Counter()
+        open_now: Open | None = None
         for found in _TOKEN.finditer(page):
             token = found.group()
             if token[0] != "<" or len(token) == 1:
@@ -97,16 +112,19 @@ class Items:
             element, kind, closes = kind_of(token)
             if element in CONTAINERS:
                 if closes:
-                    at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == element), None)
-                    if at is not None:
-                        del stack[at:]
-                elif len(stack) < 200:
-                    stack.append((element, kind))
-                open_now = tuple(k for _, k in stack)
+                    while opened[element]:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                        if last == element:
+                            break
+                else:
+                    stack.append((element, Open(kind, open_now)))
+                    opened[element] += 1
+                open_now = stack[-1][1] if stack else None
             self.items.append((kind, "", open_now))
 
 
-def _content_span(items: list[tuple[str, str, tuple[str, ...]]]) -> tuple[int, int] | None:
+def _content_span(items: list[tuple[str, str, Open | None]]) -> tuple[int, int] | None:
     """Where the only article (or else the only main element) of a page stands, without its tags."""
     for element in ("article", "main"):
         opens = [k for k, i in enumerate(items) if i[0].split(".")[0] == element]
@@ -127,7 +145,7 @@ def count_kinds(page: str, inside: Counter, outside: Counter) -> None:
         if text:
             n = len(text.split())
             if n and stack:
-                inner = next((c for c in reversed(stack) if named(c) or "." in c), stack[-1])
+                inner = stack.mark or stack.kind
                 (inside if within and named(inner) >= 0 else outside)["w" + inner] += n
         elif kind:
             (inside if within else outside)["t" + kind] += 1
@@ -161,11 +179,20 @@ class Weights:
             got = self.words[kind] = max(0.0, min(1.0, math.log(a / b)))
         return got
 
-    def word(self, stack: tuple[str, ...]) -> float:
+    def word(self, stack: Open | None) -> float:
         """The least score from the innermost article inwards, or of all open containers but the body."""
-        start = next((k for k in range(len(stack) - 1, -1, -1) if named(stack[k]) > 0), None)
-        inner = stack[start:] if start is not None else [c for c in stack if c != "body"]
-        return min((self.container(c) for c in inner if named(c) or "w" + c in self.counts), default=0.5)
+        unknown = []
+        while stack is not None and stack.score is None:
+            unknown.append(stack)
+            stack = stack.outer
+        score = stack.score if stack else math.inf
+        for c in reversed(unknown):
+            if named(c.kind) > 0:
+                score = self.container(c.kind)
+            elif (c.content or c.kind != "body") and (named(c.kind) or "w" + c.kind in self.counts):
+                score = min(score, self.container(c.kind))
+            c.score = score
+        return score if score < math.inf else 0.5
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -192,7 +219,7 @@ def extract(page: str, weights: Weights) -> str:
         else:
             # Inside a container of content a tag is no border, whatever else it stands in.
             values.append(0.0)
-            scores.append(INNER_TAG if any(named(c) > 0 for c in stack) else weights.tag(kind))
+            scores.append(INNER_TAG if stack and stack.content else weights.tag(kind))
     start, end = best_run(scores)
     parts = []
     for (kind, text, _), value in zip(items[start:end], values[start:end]):
