@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlint.llm import (
-    bpe, embeddings, html, licenses, packing, quality_rules, simhash, site_quality, substring, toxicity,
+    bpe, embeddings, hard_negatives, html, licenses, packing, pieces, quality_rules, simhash, site_quality, substring,
+    toxicity,
 )
 from fleetlint.llm.common import table
 
@@ -62,7 +63,17 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_subspace_pigeonhole, op2_html_subsequence, op3_toxicity_machine,
     op4_simhash_gray_index, op5_site_quality, op6_license_compression, op7_seed_and_extend, op8_best_fit_packing, op9_quality_rules, op10_bpe_codec,
+    op11_kronecker_negatives, op13_piece_codec,
 )}
