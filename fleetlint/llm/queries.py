@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlint.llm import (
-    bpe, embeddings, hard_negatives, html, licenses, packing, pieces, quality_rules, simhash, site_quality, substring,
+    bpe, conversations, embeddings, hard_negatives, html, licenses, packing, pieces, quality_rules, simhash, site_quality, substring,
     toxicity,
 )
 from fleetlint.llm.common import table
@@ -68,6 +68,10 @@ def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0, label=moved)
 
 
+def op12_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -75,5 +79,5 @@ def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_subspace_pigeonhole, op2_html_subsequence, op3_toxicity_machine,
     op4_simhash_gray_index, op5_site_quality, op6_license_compression, op7_seed_and_extend, op8_best_fit_packing, op9_quality_rules, op10_bpe_codec,
-    op11_kronecker_negatives, op13_piece_codec,
+    op11_kronecker_negatives, op12_suffix_dawg, op13_piece_codec,
 )}
