@@ -34,7 +34,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlint.llm import near_copies
 from fleetlint.llm.common import annotate, column, components
 from fleetlint.session import materialise
 
@@ -372,14 +371,16 @@ def linked(docs: DataFrame) -> DataFrame:
     return groups(docs, shingle=4, radius=4).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every group of near copies, that with the smallest id, with all columns; one row of repeated ids.
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every linked group, that with the smallest id, with all columns.
 
-    Links are pairs whose shingles are similar enough (``near_copies``); a fingerprint of 64 bits
-    neither finds all pairs near 0.8 nor proves one. Rows without an id cannot be told apart and stay.
+    Rows of one id are one document: it stays if one of them is first in its
+    group, as the row with the smallest text. Rows without an id cannot be told
+    apart and stay.
     """
-    found = near_copies.groups(docs, shingle, similarity, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
+    found = groups(docs, shingle, radius, id_col, text_col)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     # Ids are joined first; rows of one id then lie in one partition already.
-    kept = docs.join(stay.distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*[column(c) for c in docs.columns]).unionByName(docs.where(column(id_col).isNull()))
+    kept = docs.where(column(id_col).isNotNull()).join(stay, id_col, "left_semi").groupBy(column(id_col)).agg(
+        F.min_by(F.struct(*[column(c) for c in docs.columns]), F.coalesce(column(text_col), F.lit(""))).alias("row"))
+    return kept.select("row.*").unionByName(docs.where(column(id_col).isNull()))

@@ -126,9 +126,18 @@ def test_search_of_one_node():
 def test_one_of_each(spark):
     texts = {5: "a b c d e f", 2: "A b c d e F", 7: "other words stand here now", 8: None}
     docs = documents(spark, texts)
-    got = simhash.one_of_each(docs.unionAll(docs.where("doc_id = 2")))
+    other = spark.createDataFrame([(7, "a quite different text", 1, "s", 3), (None, "a b c d e f", 1, "s", 3)], DOCS)
+    got = simhash.one_of_each(docs.unionAll(docs.where("doc_id = 2")).unionAll(other))
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [
+        (0, "a b c d e f"), (2, "A b c d e F"), (7, "a quite different text"), (8, "")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_equals_brute_force(spark):
+    texts = corpus(3)
+    want = brute_groups({k: brute_fingerprint(t, 4) for k, t in texts.items()}, 4)
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, texts)).collect()) == sorted(set(want.values()))
 
 
 def test_components(spark):
