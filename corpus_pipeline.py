@@ -31,8 +31,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles have a similarity of 0.8 or more, the one with the smallest id."""
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    """Of documents linked by fingerprints of 4-word shingles that differ in 4 bits or fewer, the one with the smallest id."""
+    return simhash.one_of_each(docs, shingle=4, radius=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
