@@ -44,10 +44,15 @@ class Repair:
             return self.audit.scanned
         return materialise(fixable_rows(self.audit.files), "fixable")
 
+    @cached_property
+    def patched(self) -> DataFrame:
+        """Files with the edits of their findings, written once: they feed gate, rebuild and report."""
+        return materialise(repair.patched_files(self.rows), "patched")
+
     @cached_property
     def patches(self) -> DataFrame:
-        """All candidate patches, written once: they feed gate, rebuild and report."""
-        built_in = repair.line_patches(self.rows).unionByName(
+        """All candidate patches: edits of findings, and whole texts of new and proposed files."""
+        built_in = repair.line_patches(self.patched).unionByName(
             repair.create_patches(self.audit.findings, self.audit.repos))
         if self.accepted is not None:
             proposed = repair.proposal_patches(self.accepted, self.audit.files)
@@ -56,7 +61,12 @@ class Repair:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return materialise(verdict.gate(verdict.patch_features(self.patches)), "decisions")
+        whole = repair.with_originals(self.patches.filter("replacement_code is not null"), self.audit.files)
+        of_lines = verdict.edit_features(self.patched)
+        if self.accepted is not None:
+            kept = self.patches.filter("replacement_code is null").select("finding_id")
+            of_lines = of_lines.join(kept, "finding_id", "left_semi").select(*of_lines.columns)
+        return materialise(verdict.gate(verdict.patch_features(whole).unionByName(of_lines)), "decisions")
 
     @cached_property
     def results(self) -> DataFrame:
@@ -70,9 +80,9 @@ class Repair:
         A whole-file text replaces the line edits of its file and every later
         text for it.
         """
-        passed = self.results.filter("overall_status = 'PASSED'").select(F.col("patch_id").alias("finding_id"))
-        verified = self.patches.select("repo_id", "path", "finding_id", (F.size("edits") == 0).alias("whole")).join(
-            passed, "finding_id", "left_semi")
+        whole = F.col("replacement_code").isNotNull().alias("whole")
+        verified = self.patches.select("repo_id", "path", "finding_id", whole).join(
+            verdict.passed_patches(self.results), "finding_id", "left_semi")
         winners = verified.filter("whole").groupBy("repo_id", "path").agg(F.min("finding_id").alias("superseded_by"))
         return materialise(
             verified.join(winners, ["repo_id", "path"]).filter("finding_id <> superseded_by").select(
@@ -87,14 +97,12 @@ class Repair:
     @cached_property
     def repaired(self) -> DataFrame:
         """New content of every file that a verified patch changes."""
-        by_file = verdict.passed_by_file(self.results)
-        merged = repair.merged_files(self.rows, by_file).select("repo_id", "path", "content")
-        passed = self.results.filter("overall_status = 'PASSED'").select(
-            F.col("patch_id").alias("finding_id"))
+        verified = self.patches.join(verdict.passed_patches(self.results), "finding_id", "left_semi")
+        merged = repair.merged_files(self.patched, verified.filter("replacement_code is null"))
         # Whole-file texts: created files and proposals. Of several for one
         # file the first by finding wins, and it wins over line edits.
-        whole = self.patches.filter(F.size("edits") == 0).join(passed, "finding_id", "left_semi")
-        whole = whole.groupBy("repo_id", "path").agg(F.min_by("replacement_code", "finding_id").alias("content"))
+        whole = verified.filter("replacement_code is not null").groupBy("repo_id", "path").agg(
+            F.min_by("replacement_code", "finding_id").alias("content"))
         lines_only = merged.join(whole.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
         return materialise(
             lines_only.select("repo_id", "path", "content").unionByName(whole), "repaired")

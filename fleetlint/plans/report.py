@@ -204,7 +204,7 @@ def diagnosis_records(
     if results is not None:
         out = out.unionByName(records(results, "validation", "patch_id"))
     if patches is not None:
-        out = out.unionByName(records(patches.drop("original_code"), "patch", "finding_id"))
+        out = out.unionByName(records(patches, "patch", "finding_id"))
     if entries is not None:
         out = out.unionByName(records(entries, "timeline", "version"))
     return out

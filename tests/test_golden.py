@@ -46,13 +46,14 @@ def test_default_scope_mode_and_places(files):
         ("DEPLOY-NOGITIGNORE", ".gitignore", 1),
     ])
     assert audit.findings.select("finding_id").distinct().count() == 19
-    lines = repair.line_patches(fixable_rows(files)).collect()
+    lines = repair.line_patches(repair.patched_files(fixable_rows(files))).collect()
     made = repair.create_patches(audit.findings, audit.repos).collect()
     assert Counter(p.rule_id for p in lines) == Counter(
         {"ML-VAL-NOSEED": 2, "QUAL-MUT": 2, "DEP-UNPIN": 1, "DEP-DEPR": 1, "ML-LEAK-PREFIT": 1, "QUAL-EXC": 1, "SEC-YAML": 1})
     assert len(made) == 4
-    moved = next(p for p in lines if p.rule_id == "ML-LEAK-PREFIT").replacement_code
-    assert moved.index("train_test_split(visits") < moved.index("scaler = MinMaxScaler()")
+    gone, fit, moved = next(p for p in lines if p.rule_id == "ML-LEAK-PREFIT").edits
+    assert gone.whole and fit.whole and gone.text is None and fit.text is None
+    assert "train_test_split(" in moved.spans[0].text and "scaler = MinMaxScaler()" in moved.spans[-1].text
 
 
 def test_every_rule_has_bounded_values(files):

@@ -58,12 +58,19 @@ def rows(fleet_of):
     return fixable_rows(files)
 
 
+def texts_of(rows):
+    """The text that each patch alone makes of its file."""
+    patched = repair.patched_files(rows)
+    one = repair.line_patches(patched).join(patched.select("repo_id", "path", "original"), ["repo_id", "path"])
+    return one.withColumn("replacement_code", repair.rebuilt_text(
+        F.col("original"), F.sort_array(F.transform(repair.changed(F.col("edits")), lambda e: F.struct(e.line_no, e.new_text)))))
+
+
 @pytest.fixture(scope="module")
 def merged(rows):
-    found = repair.line_patches(rows)
-    passed = found.groupBy("repo_id", "path").agg(F.collect_set("finding_id").alias("finding_ids"))
+    patched = repair.patched_files(rows)
     names = list(CASES)
-    return {names[r.repo_id]: r.content for r in repair.merged_files(rows, passed).collect()}
+    return {names[r.repo_id]: r.content for r in repair.merged_files(patched, repair.line_patches(patched)).collect()}
 
 
 @pytest.mark.parametrize("name", list(CASES))
@@ -74,18 +81,18 @@ def test_merged_text(merged, name):
 def test_one_patch_per_finding(rows):
     names = list(CASES)
     patches = {}
-    for r in repair.line_patches(rows).collect():
+    for r in texts_of(rows).collect():
         patches.setdefault(names[r.repo_id], []).append(r)
     one = {p.rule_id: p.replacement_code for p in patches["seed and strata"]}
     assert one["ML-VAL-NOSEED"] == "from m import SVC\na, b = train_test_split(X, y, random_state=42)\n"
     assert one["ML-MET-NOSTRAT"] == "from m import SVC\na, b = train_test_split(X, y, stratify=y)\n"
-    edits = repair.line_edits(repair.line_patches(rows)).filter("op = 'delete'").collect()
+    edits = repair.line_edits(repair.line_patches(repair.patched_files(rows))).filter("op = 'delete'").collect()
     assert {names[e.repo_id] for e in edits} >= {"block"}
 
 
 def test_requirement_edit_goes_by_line_not_prefix(fleet_of):
     files = fleet_of({"r": {"requirements.txt": "torch\ntorchvision==0.1\nsklearn"}})
-    texts = {p.rule_id: p.replacement_code for p in repair.line_patches(fixable_rows(files)).collect()}
+    texts = {p.rule_id: p.replacement_code for p in texts_of(fixable_rows(files)).collect()}
     assert texts == {"DEP-UNPIN": "torch>=2.2.0\ntorchvision==0.1\nsklearn\n",
                      "DEP-DEPR": "torch\ntorchvision==0.1\nscikit-learn\n"}
 
