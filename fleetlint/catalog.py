@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -374,6 +374,24 @@ def _(f):
     return explore.rewritten_files(f.files, f.repair.repaired)
 
 
+@query("j11_rescan_versions")
+def _(f):
+    """What the scan after the repair wrote, and how many rows each version has."""
+    table = f.repair.versions
+
+    def counted(number):
+        rows = table.read(number).groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows_read"))
+        written = table.rows(number).groupBy("repo_id").agg(F.count(F.lit(1)).alias("rows_written"))
+        return rows.join(written, "repo_id", "left").fillna(0, ["rows_written"]).withColumn("version", F.lit(number))
+
+    return counted(0).unionByName(counted(1))
+
+
+@query("j11_version_changes")
+def _(f):
+    return f.repair.versions.changes(1)
+
+
 # -------------------------------------------------------------- aggregations
 @query("a1_category_counts")
 def _(f):
@@ -821,26 +839,38 @@ def _(f):
     return arrivals.current_findings(f.spark, out).select(*FINDING_COLUMNS)
 
 
+def _recorded(f, *parts) -> str:
+    """The log after events landed in several batches."""
+    landing, log, checkpoint = (scratch_path(f.spark, n) for n in ("events", "log", "cp"))
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        stream = snapshots.read_event_stream(f.spark, landing)
+        snapshots.start_recording(stream, log, checkpoint).awaitTermination()
+    return log
+
+
 @query("st2_snapshot_stream")
 def _(f):
-    log = scratch_path(f.spark, "log")
-    stream = snapshots.read_event_stream(f.spark, f"{f.dir}/events*.parquet")
-    snapshots.start_recording(stream, log, scratch_path(f.spark, "cp")).awaitTermination()
-    recorded = f.spark.read.schema(timeline.SNAPSHOT_SCHEMA + ", batch_id bigint").parquet(log).drop("batch_id")
-    return timeline.timeline(recorded).select("repo_id", "snapshot_id", "version", "description")
+    kept = snapshots.recorded(f.spark, _recorded(f, f.table("events")))
+    return timeline.timeline(kept.drop("copies", "outcome", "batch_id")).select(
+        "repo_id", "snapshot_id", "version", "description")
 
 
 @query("st2_late_rows")
 def _(f):
-    """A tenth of the events lands after all others; what is over a day behind then comes out as late."""
-    landing, out, checkpoint = (scratch_path(f.spark, n) for n in ("events", "late", "cp"))
-    later = F.col("event_id") % 10 == 0
-    for part in (~later, later):
-        f.table("events").filter(part).write.mode("append").parquet(landing)
-        stream = snapshots.read_event_stream(f.spark, landing)
-        snapshots.start_late_rows(stream, out, checkpoint).awaitTermination()
-    late = f.spark.read.schema(timeline.SNAPSHOT_SCHEMA + ", batch_id bigint").parquet(f"{out}/late")
-    return late.select("repo_id", "snapshot_id")
+    """A tenth of the events lands after all others; what is a day or more behind then comes out as late."""
+    events, later = f.table("events"), F.col("event_id") % 10 == 0
+    log = _recorded(f, events.filter(~later), events.filter(later))
+    return snapshots.recorded(f.spark, log, "late").select("repo_id", "snapshot_id")
+
+
+@query("st2_outcomes")
+def _(f):
+    """As before, then a seventh of the events twice more: kept, late and repeated rows are all that arrived."""
+    events, later, again = f.table("events"), F.col("event_id") % 10 == 0, F.col("event_id") % 7 == 1
+    log = _recorded(f, events.filter(~later), events.filter(later), events.filter(again).unionByName(events.filter(again)))
+    return reduce(DataFrame.unionByName, [snapshots.recorded(f.spark, log, o) for o in snapshots.OUTCOMES]).select(
+        "repo_id", "snapshot_id", "batch_id", "outcome", "copies")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

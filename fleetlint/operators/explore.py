@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
+from fleetlint.functions.arrays import let
 from fleetlint.model import FINDING_ORDER, SEVERITIES
 from fleetlint.operators.scoring import band
 from fleetlint.operators.sequence import first_rows
@@ -53,18 +54,32 @@ def badges(cards: DataFrame) -> DataFrame:
 
 
 def snippets(ranges: DataFrame, files: DataFrame) -> DataFrame:
-    """Text of a line range ``(repo_id, path, start_line, end_line)``, clamped
-    to the file; one equi-join on the file, not on single lines."""
-    wanted = files.join(ranges.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
-    lines = wanted.select("repo_id", "path", tx.split_lines(F.col("content")).alias("lines"))
-    start, size = F.col("start_line"), F.size("lines")
-    last = F.least(F.coalesce("end_line", "start_line"), size)
-    return ranges.join(lines, ["repo_id", "path"]).select(
-        *ranges.columns,
-        F.when(
-            (start >= 1) & (start <= size), F.array_join(F.slice("lines", start, last - start + 1), "\n")
-        ).otherwise("").alias("snippet"),
-    )
+    """Text of line ranges ``(repo_id, path, start_line, end_line)``, clamped to the file.
+
+    The ranges of a file are gathered, sorted (a file's findings are bounded by
+    its size), and brought to its row, so that a text is read and split once,
+    in the pass that scans it; only ranges and snippets are ever copied.
+    Ranges may overlap.
+    """
+    last = F.coalesce("end_line", "start_line")
+    others = [c for c in ranges.columns if c not in ("repo_id", "path")]
+    wanted = ranges.groupBy("repo_id", "path").agg(
+        F.sort_array(F.collect_list(F.struct("start_line", last.alias("last_line"), F.struct(*others).alias("row")))).alias("ranges"))
+
+    def cut(r, lines):
+        end = F.least(r.last_line, F.size(lines))
+        text = F.when(
+            (r.start_line >= 1) & (r.start_line <= F.size(lines)),
+            F.array_join(F.slice(lines, r.start_line, F.greatest(end - r.start_line + 1, F.lit(0))), "\n")).otherwise("")
+        return F.struct(r.row.alias("row"), text.alias("snippet"))
+
+    cuts = let(tx.split_lines(F.col("content")), lambda lines: F.transform("ranges", lambda r: cut(r, lines)))
+    # The few ranges are the side that moves or is broadcast, by its size.
+    found = files.select("repo_id", "path", "content").join(wanted, ["repo_id", "path"]).select(
+        "repo_id", "path", F.explode_outer(cuts).alias("cut"))
+    return found.select(
+        *[F.col(c) if c in ("repo_id", "path") else F.col(f"cut.row.{c}").alias(c) for c in ranges.columns],
+        F.coalesce("cut.snippet", F.lit("")).alias("snippet"))
 
 
 def range_checks(findings: DataFrame, cards: DataFrame) -> DataFrame:
@@ -113,25 +128,32 @@ def compare_scans(before_cards: DataFrame, after_cards: DataFrame) -> DataFrame:
     })
 
 
+def _digest(tag: str) -> list:
+    """Length and hash of a file's text; only these take part in a comparison."""
+    return [F.struct(F.octet_length("content").alias("size"), F.xxhash64("content").alias("hash")).alias(tag)]
+
+
 def rewritten_files(before: DataFrame, rewritten: DataFrame) -> DataFrame:
-    """Which of the rewritten files are new and which replace another text;
-    only digests of the file table take part in the join."""
-    old = before.select("repo_id", "path", F.xxhash64("content").alias("h_before"))
-    new = rewritten.select("repo_id", "path", F.xxhash64("content").alias("h_after"))
-    change = F.when(F.col("h_before").isNull(), "added").when(F.col("h_before") != F.col("h_after"), "modified")
-    return new.join(old, ["repo_id", "path"], "left").select(
-        "repo_id", "path", change.alias("change")).filter("change is not null")
+    """Which of the rewritten files are new and which replace another text.
+
+    Keys come first: only the files that were rewritten are hashed at all.
+    """
+    keys = ["repo_id", "path"]
+    new = rewritten.select(*keys, *_digest("after"))
+    old = before.join(new.select(*keys), keys, "left_semi").select(*keys, *_digest("before"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("before") != F.col("after"), "modified")
+    return new.join(old, keys, "left").select(*keys, change.alias("change")).filter("change is not null")
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files of two full scans added, removed or different, by content digest."""
 
     def side(files, tag):
-        return files.select("repo_id", "path", F.xxhash64("content", F.octet_length("content")).alias(tag))
+        return files.select("repo_id", "path", *_digest(tag))
 
-    both = side(before, "h_before").join(side(after, "h_after"), ["repo_id", "path"], "full_outer")
+    both = side(before, "before").join(side(after, "after"), ["repo_id", "path"], "full_outer")
     change = (
-        F.when(F.col("h_before").isNull(), "added").when(F.col("h_after").isNull(), "removed")
-        .when(F.col("h_before") != F.col("h_after"), "modified")
+        F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed")
+        .when(F.col("before") != F.col("after"), "modified")
     )
     return both.select("repo_id", "path", change.alias("change")).filter("change is not null")

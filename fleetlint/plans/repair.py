@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.operators import repair, verdict
+from fleetlint.operators.versions import VersionedTable
 from fleetlint.plans.audit import Audit, scan_files
 from fleetlint.session import materialise
 from fleetlint.sources.files import decode_files
@@ -120,13 +121,19 @@ class Repair:
         untouched = self.audit.files.join(self.repaired.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
         return untouched.select(*self.audit.files.columns).unionByName(self.repaired_files)
 
+    @cached_property
+    def versions(self) -> VersionedTable:
+        """The scan before the repair as version 0 and what the repair changed as version 1."""
+        old = self.audit
+        table = VersionedTable.over(old.scanned, ["repo_id", "path"])
+        table.commit(scan_files(self.repaired_files, old.rules, old.scope_mode, old.for_repair))
+        return table
+
     @cached_property
     def after(self) -> Audit:
-        """Scan after the repair: only changed files are parsed again, the rows
-        of all others are taken from the scan before."""
+        """Scan after the repair: only changed files are parsed and written, the
+        rows of all others are read from the scan before."""
         old = self.audit
         later = Audit(self.files_after, old.rules, old.scope_mode, old.for_repair)
-        fresh = scan_files(self.repaired_files, old.rules, old.scope_mode, old.for_repair)
-        kept = old.scanned.join(self.repaired.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-        later.scanned = materialise(kept.unionByName(fresh), "scan")
+        later.scanned = self.versions.read()
         return later

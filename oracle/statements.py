@@ -284,6 +284,16 @@ def _finals() -> dict[str, str]:
         SELECT r.repo_id, r.path, CASE WHEN f.path IS NULL THEN 'added' ELSE 'modified' END AS change
         FROM rebuilt r LEFT JOIN files f ON f.repo_id=r.repo_id AND f.path=r.path"""
 
+    s["j11_version_changes"] = s["j11_changed_files"]
+    s["j11_rescan_versions"] = """
+        SELECT repo_id, 0 AS version, count(*) AS rows_read, count(*) AS rows_written FROM files GROUP BY repo_id
+        UNION ALL
+        SELECT repo_id, 1, sum(n_before)+sum(added), sum(written) FROM (
+          SELECT repo_id, 1 AS n_before, 0 AS added, 0 AS written FROM files
+          UNION ALL
+          SELECT r.repo_id, 0, (f.path IS NULL)::INT, 1 FROM rebuilt r LEFT JOIN files f ON f.repo_id=r.repo_id AND f.path=r.path
+        ) GROUP BY repo_id"""
+
     s["a1_category_counts"] = "SELECT repo_id, category, ord, issue_count FROM cats"
     s["a2_category_scores"] = "SELECT repo_id, category, score_tenths/10 AS score FROM cats"
     s["a3_category_words"] = """
@@ -507,7 +517,16 @@ def _finals() -> dict[str, str]:
     s["st2_snapshot_stream"] = "SELECT repo_id, snapshot_id, version, description FROM tl"
     s["st2_late_rows"] = """
         SELECT user_id::BIGINT AS repo_id, event_id AS snapshot_id FROM events WHERE event_id%10=0
-          AND ts < (SELECT max(ts) FROM events WHERE event_id%10<>0) - INTERVAL 1 DAY"""
+          AND ts <= (SELECT max(ts) FROM events WHERE event_id%10<>0) - INTERVAL 1 DAY"""
+    s["st2_outcomes"] = """
+        WITH e AS (SELECT user_id::BIGINT AS repo_id, event_id AS snapshot_id, ts, event_id%10=0 AS later FROM events),
+        m AS (SELECT max(ts) FILTER (WHERE NOT later) AS first_mark, max(ts) AS mark FROM e)
+        SELECT repo_id, snapshot_id, 0::BIGINT AS batch_id, 'kept' AS outcome, 1::BIGINT AS copies FROM e WHERE NOT later
+        UNION ALL
+        SELECT repo_id, snapshot_id, 1, CASE WHEN ts <= first_mark - INTERVAL 1 DAY THEN 'late' ELSE 'kept' END, 1 FROM e, m WHERE later
+        UNION ALL
+        SELECT repo_id, snapshot_id, 2, CASE WHEN ts <= mark - INTERVAL 1 DAY THEN 'late' ELSE 'repeated' END, 2
+        FROM e, m WHERE snapshot_id%7=1"""
     return s
 
 
