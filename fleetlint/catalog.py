@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,10 @@ FINDING_COLUMNS = [
 ]
 
 
+# A fixed date, so that reports can be compared.
+SCANNED_AT = datetime(2024, 1, 31, 12, 5)
+
+
 class Fleet:
     """Inputs and shared intermediate tables of one data folder."""
 
@@ -53,7 +58,7 @@ class Fleet:
 
     @cached_property
     def audit(self) -> plan.Audit:
-        return plan.Audit(self.files, for_repair=True)
+        return plan.Audit(self.files, for_repair=True, scanned_at=SCANNED_AT)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -71,6 +76,14 @@ class Fleet:
     def repair(self) -> Repair:
         return Repair(self.audit, corpus.test_runs, self.proposals)
 
+    @cached_property
+    def exported(self) -> str:
+        """Where the whole diagnosis is written as JSON."""
+        out = scratch_path(self.spark, "diagnosis")
+        report.write_diagnosis(report.diagnosis_records(
+            self.audit, self.repair.results, self.repair.patches, timeline.timeline(self.snapshots)), out)
+        return out
+
     @cached_property
     def snapshots(self) -> DataFrame:
         return timeline.snapshots_from_events(self.table("events"))
@@ -220,19 +233,52 @@ def _(f):
 @query("k3_diagnosis_json")
 def _(f):
     """Written and read back."""
-    entries = timeline.timeline(f.snapshots)
-    out = scratch_path(f.spark, "diagnosis")
-    report.write_diagnosis(report.diagnosis_records(f.audit, f.repair.results, f.repair.patches, entries), out)
-    records = f.spark.read.schema("repo_id bigint, section string, key string, json string").json(out)
-    return records.select(
+    return report.read_diagnosis(f.spark, f.exported).select(
         "repo_id", "section", "key", F.get_json_object("json", "$.title").alias("title"),
         F.get_json_object("json", "$.grade").alias("grade"),
         F.get_json_object("json", "$.total_loc").cast("bigint").alias("total_loc"))
 
 
+def _section_query(section: str, fields: str, *columns, **made):
+    """Whole records of one section of the export, read back; ``made`` columns are built from the record."""
+    def build(f):
+        rows = report.read_diagnosis(f.spark, f.exported, section)
+        return rows.select("repo_id", F.from_json("json", fields).alias("r")).select(
+            *[F.col(c if c == "repo_id" else f"r.{c}") for c in columns], *[make().alias(name) for name, make in made.items()])
+
+    return build
+
+
+query("k3_findings_json")(_section_query(
+    "finding", "finding_id string, rule_id string, category string, severity string, title string, path string, line_no int, "
+    "end_line_no int, code_snippet string, confidence double, auto_fixable boolean, metric_num bigint, metric_den bigint, "
+    "analyzer_ord int", *FINDING_COLUMNS))
+query("k3_scorecards_json")(_section_query(
+    "scorecard", "repo_name string, overall_score double, grade string, total_issues bigint, critical_issues bigint, "
+    "high_issues bigint, medium_issues bigint, low_issues bigint, summary string, total_files bigint, python_files bigint, "
+    "total_loc bigint", "repo_id", "repo_name", "overall_score", "grade", "total_issues", "critical_issues", "high_issues",
+    "medium_issues", "low_issues", "summary", "total_files", "python_files", "total_loc"))
+query("k3_validation_json")(_section_query(
+    "validation", "patch_id string, path string, overall_status string, syntax_check boolean, import_check boolean, "
+    "tests_passed_before int, tests_failed_before int, tests_passed_after int, tests_failed_after int, confidence double, "
+    "steps array<struct<name:string,status:string>>", "patch_id", "path", "overall_status", "syntax_check", "import_check",
+    "tests_passed_before", "tests_failed_before", "tests_passed_after", "tests_failed_after", "confidence",
+    steps=lambda: F.array_join(F.transform("r.steps", lambda s: F.concat(s["name"], F.lit("="), s.status)), ";")))
+query("k3_patches_json")(_section_query(
+    "patch", "finding_id string, rule_id string, path string, description string, replacement_code string", "repo_id",
+    "finding_id", "rule_id", "path", "description", text_digest=lambda: F.md5("r.replacement_code")))
+query("k3_timeline_json")(_section_query(
+    "timeline", "snapshot_id bigint, version string, overall_tenths int, previous_tenths int, delta_tenths int, "
+    "total_issues bigint, fixes_applied bigint, description string", "repo_id", "snapshot_id", "version", "overall_tenths",
+    "previous_tenths", "delta_tenths", "total_issues", "fixes_applied", "description"))
+
+
 @query("k4_report_lines")
 def _(f):
-    return report.report_lines(f.audit, f.repair.results)
+    """Written as files and read back."""
+    out = scratch_path(f.spark, "reports")
+    report.write_reports(report.report_lines(f.audit, f.repair.results), out)
+    return report.read_reports(f.spark, out)
 
 
 @query("k4_report_timeline")

@@ -1,13 +1,17 @@
 """Numbering and previous values per key, without one task per key.
 
 ``row_number() over (partition by key ...)`` puts a whole key into one task.
-Here rows are range-partitioned on key and order, so a hot key spans many
+Here keys and order alone are range-partitioned, so a hot key spans many
 partitions; each part is numbered on its own and shifted by the sizes of the
-parts before it.
+parts before it (prefix sums in two passes). The positions then join the rows
+by key and order: no other column is copied, written or sorted for it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,12 +25,14 @@ def number_rows(
     """Add a 1-based ``seq`` per key and, for each ``{column: alias}``, the
     value of the row before. ``keys + order`` must identify a row.
 
-    The ranged table is written once: its part numbers have to be the same in
+    The ranged keys are written once: their part numbers have to be the same in
     both uses, and a recomputed range exchange might cut elsewhere.
     """
     previous = previous or {}
+    place = [*keys, *order]
+    narrow = df.select(*place, *[c for c in previous if c not in place])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = narrow.repartitionByRange(parts, *place).withColumn("_part", F.spark_partition_id())
     fixed = materialise(ranged, "ranged")
 
     position = F.struct(*order)
@@ -50,12 +56,14 @@ def number_rows(
     })
     joined = numbered.join(F.broadcast(shifts), [*keys, "_part"], "left")
     first = F.col("_local") == 1
-    return joined.select(
-        *df.columns,
+    numbers = joined.select(
+        *[F.col(c).alias(f"_at_{c}") for c in place],
         (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint").alias(seq),
         *[F.when(first, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(a)
           for c, a in previous.items()],
     )
+    same = reduce(and_, [df[c].eqNullSafe(F.col(f"_at_{c}")) for c in place])
+    return df.join(numbers, same).select(*[df[c] for c in df.columns], seq, *previous.values())
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -6,7 +6,8 @@ keep a compact row per file. All later steps read those rows, never the text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -275,6 +276,8 @@ class Audit:
     rules: tuple = tuple(RULE_IDS)
     scope_mode: str = "line"
     for_repair: bool = False
+    #: When the scan was made, in UTC; reports say so.
+    scanned_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     @cached_property
     def scanned(self) -> DataFrame:

@@ -1,12 +1,16 @@
 """Reports and exports in long form.
 
-A report is a table of lines ``(repo_id, section, ord, sub, text)``. Nothing
-is gathered per repository: one that holds a third of all findings is simply
-many rows, and its file parts are written by many tasks in order.
+A report is a table of lines ``(repo_id, section, ord, place, sub, text)``.
+Nothing is gathered per repository: one that holds a third of all findings is
+simply many rows, and its file parts are written by many tasks in order. Only
+the findings to fix first carry numbers; other lists are in the order of a
+text key, so nothing is numbered for them.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,28 +20,36 @@ from fleetlint.operators import explore
 from fleetlint.operators.scoring import band, category_scores
 from fleetlint.operators.sequence import number_rows
 
-LINE_ORDER = ["repo_id", "section", "ord", "sub"]
-
-
-def _mark(tenths: Column) -> Column:
-    shade = band(tenths)
-    return F.when(shade == "green", "🟢").when(shade == "yellow", "🟡").otherwise("🔴")
+LINE_ORDER = ["repo_id", "section", "ord", "place", "sub"]
+LINE_SCHEMA = "repo_id bigint, section int, ord bigint, place string, sub int, text string"
+TOP, SCORES, FIRST, LEARNING, PATCHES, HISTORY = range(6)
 
 
-def _lines(df: DataFrame, section: int, order: Column, texts: list[Column]) -> DataFrame:
-    """Explode a row into its text lines; null lines are left out."""
+def _lines(df: DataFrame, section: int, texts: list[Column], order: Column | int = 0, place: Column | str = "") -> DataFrame:
+    """A row's text lines; null lines are left out."""
     present = F.filter(F.array(*texts), lambda x: x.isNotNull())
+    as_column = [x if isinstance(x, Column) else F.lit(x) for x in (order, place)]
     return df.select(
-        "repo_id", F.lit(section).alias("section"), order.cast("bigint").alias("ord"),
-        F.posexplode_outer(present).alias("sub", "text"))
+        "repo_id", F.lit(section).alias("section"), as_column[0].cast("bigint").alias("ord"),
+        as_column[1].alias("place"), F.posexplode(present).alias("sub", "text"))
+
+
+def _headed(body: DataFrame, section: int, title: str) -> DataFrame:
+    """A section with its title in front, once for each repository that has lines in it."""
+    title_lines = _lines(body.select("repo_id").distinct(), section, [F.lit(""), F.lit(f"## {title}"), F.lit("")], -1)
+    return title_lines.unionByName(body)
 
 
-def _on_first(order: Column, text: str) -> Column:
-    return F.when(order == 1, F.lit(text))
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _percent(confidence: Column) -> Column:
-    return F.concat(F.floor(F.round(confidence * 100, 6)).cast("string"), F.lit("%"))
+def _sure(confidence: Column) -> Column:
+    return F.floor(F.round(confidence * 100, 6))
+
+
+def _indented(text: Column) -> Column:
+    return F.concat(F.lit("       "), F.replace(text, F.lit("\n"), F.lit("\n       ")))
 
 
 def numbered_urgent(findings: DataFrame) -> DataFrame:
@@ -45,106 +57,80 @@ def numbered_urgent(findings: DataFrame) -> DataFrame:
     return number_rows(explore.urgent(findings), ["repo_id"], FINDING_ORDER, seq="item_no")
 
 
-def header_lines(cards: DataFrame, summaries: DataFrame) -> DataFrame:
-    c = cards.join(summaries.select("repo_id", "summary"), "repo_id")
-    return _lines(c, 0, F.lit(0), [
-        F.lit("# 🩺 Engineering Health Report"),
-        F.concat(F.lit("**Repository:** `"), F.col("repo_name"), F.lit("`")),
-        F.concat(F.lit("**Overall Health Score:** `"), tx.tenths_text(F.col("overall_tenths")),
-                 F.lit(" / 10.0` (Grade: **"), F.col("grade"), F.lit("**)")),
-        F.lit(""), F.lit("## Executive Summary"), F.col("summary"),
+def top_lines(cards: DataFrame, summaries: DataFrame, repos: DataFrame, scanned_at: datetime) -> DataFrame:
+    c = cards.join(summaries.select("repo_id", "summary"), "repo_id").join(
+        repos.select("repo_id", "total_files", "python_files", "total_loc"), "repo_id")
+    return _lines(c, TOP, [
+        _say("# Audit of ", F.col("repo_name")),
+        F.lit(f"Scanned on {scanned_at:%Y-%m-%d} at {scanned_at:%H:%M} UTC."),
+        _say(F.col("total_files"), " files, ", F.col("python_files"), " of them Python; ", F.col("total_loc"), " lines."),
+        F.lit(""), F.col("summary"),
     ])
 
 
-def scorecard_lines(cards: DataFrame) -> DataFrame:
-    cats = category_scores(cards)
-    order = F.col("ord")
-    rows = _lines(cats, 1, order, [
-        _on_first(order, ""), _on_first(order, "## Repository Scorecard"),
-        _on_first(order, "| Category | Score / 10 | Issues Found | Critical | Status |"),
-        _on_first(order, "| :--- | :---: | :---: | :---: | :--- |"),
-        F.concat(
-            F.lit("| **"), F.col("category"), F.lit("** | **"), tx.tenths_text(F.col("score_tenths")),
-            F.lit("** | "), F.col("issue_count").cast("string"), F.lit(" | "),
-            F.col("critical_count").cast("string"), F.lit(" | "), _mark(F.col("score_tenths")), F.lit(" "),
-            F.col("summary"), F.lit(" |")),
-    ])
-    total = _lines(cards, 1, F.lit(9), [F.concat(
-        F.lit("| **OVERALL** | **`"), tx.tenths_text(F.col("overall_tenths")), F.lit("`** | **"),
-        F.col("total_issues").cast("string"), F.lit("** | **"), F.col("critical_issues").cast("string"),
-        F.lit("** | **Grade: "), F.col("grade"), F.lit("** |"))])
-    return rows.unionByName(total)
+def score_lines(cards: DataFrame) -> DataFrame:
+    critical = F.when(F.col("critical_count") > 0, _say(", ", F.col("critical_count"), " critical")).otherwise("")
+    each = _lines(category_scores(cards), SCORES, [_say(
+        "- ", F.col("category"), ": ", tx.tenths_text(F.col("score_tenths")), " (", band(F.col("score_tenths")), "), ",
+        F.col("issue_count"), " findings", critical, ". ", F.col("summary"), "."
+    )], F.col("ord"))
+    whole = _lines(cards, SCORES, [_say(
+        "- Together: ", tx.tenths_text(F.col("overall_tenths")), ", grade ", F.col("grade"), ", ", F.col("total_issues"),
+        " findings, ", F.col("critical_issues"), " critical")], 99)
+    return _headed(each.unionByName(whole), SCORES, "Scores")
 
 
 def urgent_lines(findings: DataFrame) -> DataFrame:
-    order = F.col("item_no")
-    has_code = F.coalesce(F.col("code_snippet"), F.lit("")) != ""
-    icon = F.when(F.col("severity") == "CRITICAL", "🔥").otherwise("⚠️")
-    return _lines(numbered_urgent(findings), 2, order, [
-        _on_first(order, ""), _on_first(order, "## Critical & High Priority Findings"),
-        F.concat(F.lit("### "), order.cast("string"), F.lit(". "), icon, F.lit(" ["), F.col("severity"),
-                 F.lit("] "), F.col("title")),
-        F.concat(F.lit("- **Location:** `"), F.col("path"), F.lit("` (Line: "),
-                 F.coalesce(F.col("line_no").cast("string"), F.lit("N/A")), F.lit(")")),
-        F.concat(F.lit("- **Confidence:** `"), _percent(F.col("confidence")), F.lit("` | **Category:** `"),
-                 F.col("category"), F.lit("`")),
-        F.concat(F.lit("- **Risk Analysis:** "), F.col("risk_explanation")),
-        F.when(has_code, F.lit("```python")), F.when(has_code, F.col("code_snippet")), F.when(has_code, F.lit("```")),
-        F.concat(F.lit("- **Recommended Fix:** "), F.col("recommendation")),
-    ])
+    line = F.coalesce(_say(":", F.col("line_no")), F.lit(""))
+    code = F.when(F.coalesce("code_snippet", F.lit("")) != "", _indented(F.col("code_snippet")))
+    body = _lines(numbered_urgent(findings), FIRST, [
+        _say(F.col("item_no"), ". ", F.col("title"), " (", F.lower("severity"), ", ", F.col("category"), ")"),
+        _say("   in ", F.col("path"), line, ", ", _sure(F.col("confidence")), " in 100 sure"),
+        code,
+        _say("   ", F.col("risk_explanation")),
+        _say("   To do: ", F.col("recommendation")),
+    ], F.col("item_no"))
+    return _headed(body, FIRST, "To fix first")
 
 
 def ml_lines(findings: DataFrame) -> DataFrame:
-    numbered = number_rows(explore.ml_related(findings), ["repo_id"], FINDING_ORDER, seq="item_no")
-    order = F.col("item_no")
-    return _lines(numbered, 3, order, [
-        _on_first(order, ""), _on_first(order, "## Machine Learning Practice"),
-        F.concat(F.lit("- **"), F.col("title"), F.lit("** (`"), F.col("path"), F.lit("`)")),
-        F.concat(F.lit("  - *Problem:* "), F.col("risk_explanation")),
-        F.concat(F.lit("  - *Fix:* "), F.col("recommendation")),
-    ])
+    place = F.concat_ws("\t", F.lpad(F.col("analyzer_ord").cast("string"), 3, "0"), "path",
+                        F.lpad(F.coalesce("line_no", F.lit(0)).cast("string"), 9, "0"), "rule_id", "finding_id")
+    body = _lines(explore.ml_related(findings), LEARNING, [
+        _say("- ", F.col("path"), ": ", F.col("title")),
+        _say("  ", F.col("risk_explanation"), " ", F.col("recommendation")),
+    ], place=place)
+    return _headed(body, LEARNING, "Learning code")
 
 
 def validation_lines(results: DataFrame) -> DataFrame:
-    numbered = number_rows(results, ["repo_id"], ["patch_id"], seq="item_no")
-    order = F.col("item_no")
-
     def tests(phase):
-        return F.concat(F.col(f"tests_passed_{phase}").cast("string"), F.lit("P / "),
-                        F.col(f"tests_failed_{phase}").cast("string"), F.lit("F"))
-
-    return _lines(numbered, 4, order, [
-        _on_first(order, ""), _on_first(order, "## Validation Log"),
-        _on_first(order, "| Patch ID | Target File | Syntax Check | Pre-Tests | Post-Tests | Confidence | Result |"),
-        _on_first(order, "| :--- | :--- | :---: | :---: | :---: | :---: | :---: |"),
-        F.concat(
-            F.lit("| `"), F.col("patch_id"), F.lit("` | `"), F.col("path"), F.lit("` | "),
-            F.when(F.col("syntax_check"), "✓").otherwise("✗"), F.lit(" | "), tests("before"), F.lit(" | "),
-            tests("after"), F.lit(" | "), _percent(F.col("confidence")), F.lit(" | **"),
-            F.when(F.col("overall_status") == "PASSED", "✅ PASSED").otherwise("❌ FAILED"), F.lit("** |")),
-    ])
+        return _say(F.col(f"tests_passed_{phase}"), " passed and ", F.col(f"tests_failed_{phase}"), f" failed {phase}")
+
+    verified = F.when(F.col("overall_status") == "PASSED", "verified").otherwise("rejected")
+    syntax = F.when(F.col("syntax_check"), "compiles").otherwise("does not compile")
+    body = _lines(results, PATCHES, [
+        _say("- ", F.col("path"), ": ", verified, ", ", syntax, ", tests ", tests("before"), ", ", tests("after"), " (",
+             F.col("patch_id"), ", ", _sure(F.col("confidence")), " in 100 sure)"),
+    ], place=F.col("patch_id"))
+    return _headed(body, PATCHES, "Checked patches")
 
 
 def timeline_lines(entries: DataFrame) -> DataFrame:
     """``entries`` as made by ``operators.timeline.timeline``."""
-    order = F.col("version_no")
-    return _lines(entries, 5, order, [
-        _on_first(order, ""), _on_first(order, "## Repository Health Timeline"),
-        _on_first(order, "| Version | Date | Overall Score | Issues | Fixes Applied | Description |"),
-        _on_first(order, "| :---: | :--- | :---: | :---: | :---: | :--- |"),
-        F.concat(
-            F.lit("| **"), F.col("version"), F.lit("** | "), F.date_format("ts", "yyyy-MM-dd HH:mm"),
-            F.lit(" | **"), tx.tenths_text(F.col("overall_tenths")), F.lit(" / 10** | "),
-            F.col("total_issues").cast("string"), F.lit(" | "), F.col("fixes_applied").cast("string"),
-            F.lit(" | "), F.col("description"), F.lit(" |")),
-    ])
+    body = _lines(entries, HISTORY, [
+        _say("- ", F.col("version"), " of ", F.date_format("ts", "yyyy-MM-dd HH:mm"), ": ",
+             tx.tenths_text(F.col("overall_tenths")), " with ", F.col("total_issues"), " findings, ", F.col("fixes_applied"),
+             " fixes applied. ", F.col("description")),
+    ], F.col("version_no"))
+    return _headed(body, HISTORY, "History")
 
 
 def report_lines(audit, results: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
-    """All lines of the Markdown reports of a fleet."""
+    """All lines of the reports of a fleet."""
     out = (
-        header_lines(audit.scorecards, audit.summaries)
-        .unionByName(scorecard_lines(audit.scorecards))
+        top_lines(audit.scorecards, audit.summaries, audit.repos, audit.scanned_at)
+        .unionByName(score_lines(audit.scorecards))
         .unionByName(urgent_lines(audit.findings))
         .unionByName(ml_lines(audit.findings))
     )
@@ -177,11 +163,16 @@ def write_reports(lines: DataFrame, path: str, buckets: int = 64) -> None:
     _write_ordered(lines.select(*LINE_ORDER, "text"), path, LINE_ORDER, buckets)
 
 
+def read_reports(spark, path: str) -> DataFrame:
+    """The written lines of all reports."""
+    return spark.read.schema(LINE_SCHEMA + ", bucket int").json(path).drop("bucket")
+
+
 def read_report(spark, path: str, repo_id: int, buckets: int = 64) -> DataFrame:
     """The lines of one repository's report, in order; only its folder is read."""
     key = F.lit(repo_id)
-    schema = "repo_id bigint, section int, ord bigint, sub int, text string, bucket int"
-    rows = spark.read.schema(schema).json(path).filter((F.col("bucket") == _bucket(key, buckets)) & (F.col("repo_id") == key))
+    rows = spark.read.schema(LINE_SCHEMA + ", bucket int").json(path).filter(
+        (F.col("bucket") == _bucket(key, buckets)) & (F.col("repo_id") == key))
     return rows.orderBy(*LINE_ORDER).select("text")
 
 
@@ -213,3 +204,9 @@ def diagnosis_records(
 def write_diagnosis(records: DataFrame, path: str, buckets: int = 64) -> None:
     """The records as JSON rows ``repo_id, section, key, json`` in folders by hash of the repository."""
     _write_ordered(records, path, ["repo_id", "section", "key"], buckets)
+
+
+def read_diagnosis(spark, path: str, section: str | None = None) -> DataFrame:
+    """The written records, of one section if it is named."""
+    rows = spark.read.schema("repo_id bigint, section string, key string, json string, bucket int").json(path).drop("bucket")
+    return rows if section is None else rows.filter(F.col("section") == section)

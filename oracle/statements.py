@@ -101,67 +101,60 @@ def _edit(*rules) -> str:
             f"WHERE rule_id IN {names(rules)}")
 
 
-def _report() -> str:
-    """Sections 0 to 4 of the report as rows."""
-    mark = "CASE WHEN score_tenths>=85 THEN '🟢' WHEN score_tenths>=65 THEN '🟡' ELSE '🔴' END"
-    lines = []
+def _section(number, source, texts, order="0", place="''", title=None) -> str:
+    """A report section as rows; ``texts`` are SQL expressions, null where a line is left out."""
+    items = ", ".join(f"({t})::VARCHAR" for t in texts)
+    body = (
+        f"SELECT repo_id, {number} AS section, ({order})::BIGINT AS ord, {place} AS place, (sub-1)::INT AS sub, present[sub] AS text "
+        f"FROM (SELECT *, unnest(generate_series(1, len(present))) AS sub FROM ("
+        f"SELECT *, list_filter([{items}], lambda x: x IS NOT NULL) AS present FROM {source}))")
+    if title:
+        body += (f" UNION ALL SELECT repo_id, {number}, -1, '', sub, ['', {quote('## ' + title)}, ''][sub+1] FROM ("
+                 f"SELECT DISTINCT repo_id, unnest([0,1,2])::INT AS sub FROM {source})")
+    return body
 
-    def section(number, order, source, texts):
-        """texts: SQL expressions, null where a line is left out."""
-        items = ", ".join(texts)
-        lines.append(
-            f"SELECT repo_id, {number} AS section, ({order})::BIGINT AS ord, (sub-1)::INT AS sub, present[sub] AS text FROM ("
-            f"SELECT *, unnest(generate_series(1, len(present))) AS sub FROM ("
-            f"SELECT *, list_filter([{items}], lambda x: x IS NOT NULL) AS present FROM {source}))")
 
-    def first(text, order):
-        return f"CASE WHEN {order}=1 THEN {quote(text)} END"
-
-    section(0, "0", "(SELECT c.*, s.summary FROM cards c JOIN summary s ON c.repo_id=s.repo_id)", [
-        "'# 🩺 Engineering Health Report'", "'**Repository:** `'||repo_name||'`'",
-        f"'**Overall Health Score:** `'||{tenths('overall_tenths')}||' / 10.0` (Grade: **'||grade||'**)'",
-        "''", "'## Executive Summary'", "summary"])
-    section(1, "ord", "cats", [
-        first("", "ord"), first("## Repository Scorecard", "ord"),
-        first("| Category | Score / 10 | Issues Found | Critical | Status |", "ord"),
-        first("| :--- | :---: | :---: | :---: | :--- |", "ord"),
-        f"'| **'||category||'** | **'||{tenths('score_tenths')}||'** | '||issue_count||' | '||critical_count||' | '||{mark}||' '||"
-        "CASE WHEN score_tenths>=90 THEN 'Excellent health' WHEN score_tenths>=70 THEN 'Minor issues found' "
-        "ELSE 'Needs immediate attention' END||' |'"])
-    section(1, "9", "cards", [
-        f"'| **OVERALL** | **`'||{tenths('overall_tenths')}||'`** | **'||total_issues||'** | **'||critical_issues||'** | **Grade: '||grade||'** |'"])
+def _report() -> str:
+    """Sections 0 to 4 of the report as rows."""
+    sure = "floor(round(confidence*100,6))::INT||' in 100 sure'"
+    shade = "CASE WHEN score_tenths>=85 THEN 'green' WHEN score_tenths>=65 THEN 'yellow' ELSE 'red' END"
+    words = ("CASE WHEN score_tenths>=90 THEN 'Excellent health' WHEN score_tenths>=70 THEN 'Minor issues found' "
+             "ELSE 'Needs immediate attention' END")
     order = "PARTITION BY repo_id ORDER BY analyzer_ord, path, line_no NULLS FIRST, rule_id, finding_id"
-    pct = "floor(round(confidence*100,6))::INT||'%'"
-    code = "coalesce(code_snippet,'')<>''"
-    section(2, "n", f"(SELECT *, row_number() OVER ({order}) AS n FROM findings WHERE severity IN ('CRITICAL','HIGH'))", [
-        first("", "n"), first("## Critical & High Priority Findings", "n"),
-        "'### '||n||'. '||(CASE WHEN severity='CRITICAL' THEN '🔥' ELSE '⚠️' END)||' ['||severity||'] '||title",
-        "'- **Location:** `'||path||'` (Line: '||coalesce(line_no::VARCHAR,'N/A')||')'",
-        f"'- **Confidence:** `'||{pct}||'` | **Category:** `'||category||'`'",
-        "'- **Risk Analysis:** '||risk_explanation",
-        f"CASE WHEN {code} THEN '```python' END", f"CASE WHEN {code} THEN code_snippet END", f"CASE WHEN {code} THEN '```' END",
-        "'- **Recommended Fix:** '||recommendation"])
-    section(3, "n", f"(SELECT *, row_number() OVER ({order}) AS n FROM findings WHERE category='ML Engineering' OR starts_with(rule_id,'ML-'))", [
-        first("", "n"), first("## Machine Learning Practice", "n"),
-        "'- **'||title||'** (`'||path||'`)'", "'  - *Problem:* '||risk_explanation", "'  - *Fix:* '||recommendation"])
-    section(4, "n", "(SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY patch_id) AS n FROM results)", [
-        first("", "n"), first("## Validation Log", "n"),
-        first("| Patch ID | Target File | Syntax Check | Pre-Tests | Post-Tests | Confidence | Result |", "n"),
-        first("| :--- | :--- | :---: | :---: | :---: | :---: | :---: |", "n"),
-        "'| `'||patch_id||'` | `'||path||'` | '||(CASE WHEN syntax_check THEN '✓' ELSE '✗' END)||' | '||tests_passed_before||'P / '||tests_failed_before||'F | '"
-        f"||tests_passed_after||'P / '||tests_failed_after||'F | '||{pct}||' | **'||(CASE WHEN overall_status='PASSED' THEN '✅ PASSED' ELSE '❌ FAILED' END)||'** |'"])
-    return " UNION ALL ".join(lines)
+    tab = "chr(9)"
+    place = (f"lpad(analyzer_ord::VARCHAR,3,'0')||{tab}||path||{tab}||lpad(coalesce(line_no,0)::VARCHAR,9,'0')||{tab}||rule_id"
+             f"||{tab}||finding_id")
+    score_rows = f"""(
+        SELECT repo_id, ord, '- '||category||': '||{tenths('score_tenths')}||' ('||({shade})||'), '||issue_count||' findings'
+          ||(CASE WHEN critical_count>0 THEN ', '||critical_count||' critical' ELSE '' END)||'. '||({words})||'.' AS line FROM cats
+        UNION ALL
+        SELECT repo_id, 99, '- Together: '||{tenths('overall_tenths')}||', grade '||grade||', '||total_issues||' findings, '
+          ||critical_issues||' critical' FROM cards)"""
+    return " UNION ALL ".join([
+        _section(0, "(SELECT c.*, s.summary, a.total_files, a.python_files, a.total_loc FROM cards c "
+                    "JOIN summary s ON c.repo_id=s.repo_id JOIN agg a ON c.repo_id=a.repo_id)", [
+            "'# Audit of '||repo_name", "'Scanned on 2024-01-31 at 12:05 UTC.'",
+            "total_files||' files, '||python_files||' of them Python; '||total_loc||' lines.'", "''", "summary"]),
+        _section(1, score_rows, ["line"], "ord", title="Scores"),
+        _section(2, f"(SELECT *, row_number() OVER ({order}) AS n FROM findings WHERE severity IN ('CRITICAL','HIGH'))", [
+            "n||'. '||title||' ('||lower(severity)||', '||category||')'",
+            f"'   in '||path||coalesce(':'||line_no, '')||', '||{sure}",
+            f"CASE WHEN coalesce(code_snippet,'')<>'' THEN '       '||replace(code_snippet, {NL}, {NL}||'       ') END",
+            "'   '||risk_explanation", "'   To do: '||recommendation"], "n", title="To fix first"),
+        _section(3, "(SELECT * FROM findings WHERE category='ML Engineering' OR starts_with(rule_id,'ML-'))", [
+            "'- '||path||': '||title", "'  '||risk_explanation||' '||recommendation"], place=place, title="Learning code"),
+        _section(4, "results", [
+            "'- '||path||': '||(CASE WHEN overall_status='PASSED' THEN 'verified' ELSE 'rejected' END)||', '"
+            "||(CASE WHEN syntax_check THEN 'compiles' ELSE 'does not compile' END)||', tests '||tests_passed_before||' passed and '"
+            "||tests_failed_before||' failed before, '||tests_passed_after||' passed and '||tests_failed_after||' failed after ('"
+            f"||patch_id||', '||{sure}||')'"], place="patch_id", title="Checked patches"),
+    ])
 
 
 def _timeline_lines() -> str:
-    items = ", ".join([
-        "CASE WHEN version_no=1 THEN '' END", "CASE WHEN version_no=1 THEN '## Repository Health Timeline' END",
-        "CASE WHEN version_no=1 THEN '| Version | Date | Overall Score | Issues | Fixes Applied | Description |' END",
-        "CASE WHEN version_no=1 THEN '| :---: | :--- | :---: | :---: | :---: | :--- |' END",
-        f"'| **'||version||'** | '||strftime(ts,'%Y-%m-%d %H:%M')||' | **'||{tenths('overall_tenths')}||' / 10** | '||total_issues||' | '||fixes_applied||' | '||description||' |'"])
-    return ("SELECT repo_id, 5 AS section, version_no AS ord, (sub-1)::INT AS sub, present[sub] AS text FROM ("
-            "SELECT *, unnest(generate_series(1, len(present))) AS sub FROM ("
-            f"SELECT *, list_filter([{items}], lambda x: x IS NOT NULL) AS present FROM tl))")
+    return _section(5, "tl", [
+        f"'- '||version||' of '||strftime(ts,'%Y-%m-%d %H:%M')||': '||{tenths('overall_tenths')}||' with '||total_issues"
+        "||' findings, '||fixes_applied||' fixes applied. '||description"], "version_no", title="History")
 
 
 def _finals() -> dict[str, str]:
@@ -220,6 +213,21 @@ def _finals() -> dict[str, str]:
         UNION ALL SELECT repo_id, 'validation', patch_id, NULL, NULL, NULL FROM results
         UNION ALL SELECT repo_id, 'patch', finding_id, NULL, NULL, NULL FROM patches
         UNION ALL SELECT repo_id, 'timeline', version, NULL, NULL, NULL FROM tl"""
+    s["k3_findings_json"] = f"SELECT {FCOLS} FROM findings"
+    s["k3_scorecards_json"] = """
+        SELECT c.repo_id, c.repo_name, overall_score, grade, total_issues, critical_issues, high_issues, medium_issues, low_issues,
+          s.summary, total_files, python_files, total_loc
+        FROM cards c JOIN summary s ON c.repo_id=s.repo_id JOIN agg a ON c.repo_id=a.repo_id"""
+    s["k3_validation_json"] = """
+        SELECT patch_id, path, overall_status, syntax_check, import_check, tests_passed_before, tests_failed_before,
+          tests_passed_after, tests_failed_after, confidence, steps FROM results"""
+    s["k3_patches_json"] = """
+        SELECT p.repo_id, p.finding_id, p.rule_id, p.path, p.description,
+          md5(coalesce(c.replacement_code, a.replacement_code)) AS text_digest
+        FROM patches p LEFT JOIN created c ON c.finding_id=p.finding_id LEFT JOIN accepted a ON a.finding_id=p.finding_id"""
+    s["k3_timeline_json"] = """
+        SELECT repo_id, snapshot_id, version, overall_tenths, previous_tenths, delta_tenths, total_issues, fixes_applied,
+          description FROM tl"""
     s["k4_report_lines"] = _report()
     s["k4_report_timeline"] = _timeline_lines()
     s["k5_counters"] = "SELECT repo_id, total_files, python_files, total_loc FROM agg"

@@ -41,15 +41,16 @@ def test_lines(spark, fleet_of):
 
 def test_report_files_are_whole_and_ordered(spark, fleet_of, tmp_path):
     files = fleet_of({"r": {f"src/m{k:03}.py": "eval(x)\n" for k in range(150)}, "s": {"a.py": "x = 1\n"}})
-    audit = Audit(files)
+    audit = Audit(files, scanned_at=datetime(2023, 5, 6, 7, 8))
     lines = report.report_lines(audit)
     out = str(tmp_path / "reports")
     report.write_reports(lines, out)
     text = "\n".join(r.text for r in report.read_report(spark, out, 0).collect())
-    want = [r.text for r in lines.filter("repo_id = 0").orderBy("section", "ord", "sub").collect()]
+    want = [r.text for r in lines.filter("repo_id = 0").orderBy("section", "ord", "place", "sub").collect()]
     assert text.rstrip("\n").split("\n") == "\n".join(want).split("\n")
-    assert text.startswith("# 🩺 Engineering Health Report\n**Repository:** `r`")
-    assert "### 151. " in text and text.count("[CRITICAL] Arbitrary Code Execution") == 150
+    assert text.startswith("# Audit of r\nScanned on 2023-05-06 at 07:08 UTC.\n150 files, 150 of them Python; 150 lines.\n")
+    assert "\n151. " in text and text.count(". Arbitrary Code Execution") == 150 and text.count("(critical, ") == 151
+    assert sorted(map(tuple, report.read_reports(spark, out).collect())) == sorted(map(tuple, lines.collect()))
     records = report.diagnosis_records(audit)
     report.write_diagnosis(records, str(tmp_path / "json"))
     back = spark.read.json(str(tmp_path / "json"))
