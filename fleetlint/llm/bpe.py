@@ -36,7 +36,9 @@ CACHE = 300_000
 _CACHED_LENGTH = 48
 _HEAP_FROM = 40
 
-_HIGH = re.compile("[\u0800-\U0010ffff]")
+# Texts that may hold characters Python does not know; those below U+0800 are few and listed.
+_HIGH = re.compile("[\u0800-\U0010ffff%s]" % "".join(
+    c for c in map(chr, range(0x80, 0x800)) if unicodedata.category(c) == "Cn"))
 _UNICODE_SPACE_ONLY_IN_PYTHON = regex.compile("[\x1c-\x1f]")
 
 
@@ -85,7 +87,7 @@ class WordEncoder:
     @staticmethod
     def unknown(text: str) -> bool:
         return _HIGH.search(text) is not None and any(
-            c > "\u07ff" and unicodedata.category(c) == "Cn" for c in text)
+            c > "\x7f" and unicodedata.category(c) == "Cn" for c in text)
 
     def is_letter(self, char: str) -> bool:
         """Whether the library's word pattern takes an unknown character for a letter or number."""
@@ -99,7 +101,7 @@ class WordEncoder:
         if text.isascii() or not self.unknown(text):
             return self.words.findall(text)
         # A symbol stands in for every unknown character that is no letter.
-        shadow = "".join("$" if c > "\u07ff" and unicodedata.category(c) == "Cn" and not self.is_letter(c) else c for c in text)
+        shadow = "".join("$" if c > "\x7f" and unicodedata.category(c) == "Cn" and not self.is_letter(c) else c for c in text)
         return [text[m.start(): m.end()] for m in self.words.finditer(shadow)]
 
     # -- one word ---------------------------------------------------------

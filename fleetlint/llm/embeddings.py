@@ -4,8 +4,9 @@ Unit vectors with cosine of at least ``c`` have a squared distance of at most
 ``2 - 2c``. A fixed random rotation spreads it over all coordinates, which are
 split into blocks of few dimensions; the budget is shared out in proportion to
 their dimensions, so at least one block of every linked pair stays within its
-own. Each block is range-joined under its budget, and what any block finds is
-verified on the whole vectors in double precision.
+own. Each block is range-joined under its budget, with a slack for rounding, and
+what any block finds is decided by the cosine of the vectors as they are given,
+``dot / (norm * norm)`` in double precision.
 
 The range join files a vector under the signs of its leading block
 coordinates, taken from the mean. Where the signs of a pair differ, the two
@@ -46,6 +47,8 @@ CELL_SIGNS, INNER_SIGNS = 2, 8
 #: Most vectors of a cell on either side of one task.
 CHUNK = 32_768
 _SLACK = 1e-5
+#: Squared distance that rounding may add to a linked pair.
+_ROUNDING = 4e-6
 _PAIRS = 20_000
 
 
@@ -61,48 +64,62 @@ def block_borders(dims: int, block_dims: int = BLOCK_DIMS) -> list[tuple[int, in
     return list(zip(edges[:-1], edges[1:]))
 
 
-def unit(vector: list | None) -> np.ndarray | None:
-    """The vector at length one, or None if it has no direction."""
+def scaled(vector: list | None) -> np.ndarray | None:
+    """The vector times a power of two, which is exact and keeps squares in range; None if it has no direction."""
     if not vector or any(v is None for v in vector):
         return None
     x = np.array(vector, np.float64)
     top = np.abs(x).max()
     if not np.isfinite(top) or top == 0:
         return None
-    x = x / top  # so that squares neither overflow nor vanish
-    return x / np.sqrt((x * x).sum())
+    return np.ldexp(x, -int(np.frexp(top)[1]))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The numbers in 32 bits each where that is exact."""
+    short = x.astype("<f4")
+    return (short if (short == x).all() else x.astype("<f8")).tobytes()
+
+
+def unpacked(raws: list[bytes], dims: int) -> np.ndarray:
+    if all(len(raw) == 4 * dims for raw in raws):
+        return np.frombuffer(b"".join(raws), "<f4").reshape(-1, dims).astype(np.float64)
+    return np.array([np.frombuffer(raw, "<f4" if len(raw) == 4 * dims else "<f8") for raw in raws], np.float64)
 
 
 _ROTATED = T.StructType([
     T.StructField("vec_id", T.LongType()), T.StructField("same", T.BinaryType()),
-    T.StructField("dims", T.IntegerType(), False), T.StructField("turned", T.BinaryType()),
+    T.StructField("dims", T.IntegerType(), False), T.StructField("turned", T.BinaryType()), T.StructField("given", T.BinaryType()),
 ])
 
 
 def rotated(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Per row: id, a digest of the direction, and the rotated unit vector (null if there is none)."""
+    """Per row: id, a digest of the vector, the rotated unit vector (32 bits a number) and the vector itself, scaled
+    (null if there is no direction)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            same, dims, turned = [], [], []
+            same, dims, turned, given = [], [], [], []
             for vec_id, value in zip(ids, batch.column(1).to_pylist()):
-                x = unit(value) if vec_id is not None else None
+                x = scaled(value) if vec_id is not None else None
                 if x is None:
                     same.append(None)
                     dims.append(0)
                     turned.append(None)
+                    given.append(None)
                     continue
                 n = len(x)
                 if n not in turns:
                     turns[n] = rotation(n)
                 same.append(hashlib.md5(x.tobytes()).digest())
                 dims.append(n)
-                turned.append((turns[n] @ x).tobytes())
+                turned.append((turns[n] @ (x / np.sqrt((x * x).sum()))).astype("<f4").tobytes())
+                given.append(packed(x))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(dims, pa.int32()),
-                pa.array(turned, pa.binary()),
+                pa.array(turned, pa.binary()), pa.array(given, pa.binary()),
             ], names=_ROTATED.names)
 
     return vectors.select(column(id_col).cast("long"), column(vec_col)).mapInArrow(run, _ROTATED)
@@ -123,7 +140,7 @@ def means(reps: DataFrame) -> dict[int, np.ndarray]:
             for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = found.setdefault(n, [0, np.zeros(n)])
                 own[0] += 1
-                own[1] += np.frombuffer(raw)
+                own[1] += np.frombuffer(raw, "<f4")
         if found:
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(found), pa.int32()), pa.array([f[0] for f in found.values()], pa.int64()),
@@ -159,7 +176,8 @@ class Shape:
 
     def __init__(self, dims: int, cosine: float, mean: np.ndarray, block_dims: int):
         self.borders = block_borders(dims, block_dims)
-        self.budgets = [(2 - 2 * cosine) * (b - a) / dims + 1e-12 for a, b in self.borders]
+        # The slack is far above what 32 bits a coordinate can add to a squared distance.
+        self.budgets = [(2 - 2 * cosine + _ROUNDING) * (b - a) / dims + 1e-12 for a, b in self.borders]
         self.mean = mean
 
     def leading(self, turned: np.ndarray, block: int, signs: int) -> np.ndarray:
@@ -171,20 +189,20 @@ class Shape:
 _FILED = T.StructType([
     T.StructField("dims", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("cell", T.IntegerType()),
     T.StructField("probe", T.BooleanType()), T.StructField("rep", T.LongType()), T.StructField("copies", T.LongType()),
-    T.StructField("turned", T.BinaryType()),
+    T.StructField("turned", T.BinaryType()), T.StructField("given", T.BinaryType()),
 ])
 
 
 def filed(reps: DataFrame, shapes: dict[int, Shape], with_vectors: bool) -> DataFrame:
     """Each vector as a member of its cell in every block, and as a probe of all cells it can reach."""
-    schema = _FILED if with_vectors else T.StructType(_FILED.fields[:-1])
+    schema = _FILED if with_vectors else T.StructType(_FILED.fields[:-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_dims = batch.column("dims").to_numpy()
             for n in np.unique(all_dims):
                 part = batch.filter(pa.array(all_dims == n))
-                turned = np.frombuffer(b"".join(part.column("turned").to_pylist())).reshape(-1, n)
+                turned = unpacked(part.column("turned").to_pylist(), int(n))
                 shape = shapes[int(n)]
                 for block in range(len(shape.borders)):
                     z = shape.leading(turned, block, CELL_SIGNS)
@@ -205,10 +223,10 @@ def filed(reps: DataFrame, shapes: dict[int, Shape], with_vectors: bool) -> Data
                             take.column("rep"), take.column("copies"),
                         ]
                         if with_vectors:
-                            arrays.append(take.column("turned"))
+                            arrays += [take.column("turned"), take.column("given")]
                         yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return reps.select("rep", "copies", "dims", "turned").mapInArrow(run, schema)
+    return reps.select("rep", "copies", "dims", "turned", *["given"] * with_vectors).mapInArrow(run, schema)
 
 
 _FOUND = T.StructType([
@@ -217,8 +235,8 @@ _FOUND = T.StructType([
 
 
 def join_cell(
-    members: np.ndarray, member_ids: np.ndarray, member_copies: np.ndarray,
-    probes: np.ndarray, probe_ids: np.ndarray, probe_copies: np.ndarray,
+    members: np.ndarray, member_given: np.ndarray, member_ids: np.ndarray, member_copies: np.ndarray,
+    probes: np.ndarray, probe_given: np.ndarray, probe_ids: np.ndarray, probe_copies: np.ndarray,
     shape: Shape, block: int, cosine: float,
 ) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Link counts by id and a spanning forest of the links between probes and members that belong to this block."""
@@ -231,6 +249,7 @@ def join_cell(
     bm, bp = members[:, a:b].astype(np.float32), probes[:, a:b].astype(np.float32)
     nm, np_ = (bm * bm).sum(axis=1), (bp * bp).sum(axis=1)
     degree_m, degree_p = np.zeros(len(members), np.int64), np.zeros(len(probes), np.int64)
+    length_m, length_p = (np.sqrt((g * g).sum(axis=1)) for g in (member_given, probe_given))
     up: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -240,12 +259,11 @@ def join_cell(
         return i
 
     def verify(p: np.ndarray, m: np.ndarray) -> None:
-        x, y = probes[p], members[m]
-        keep = (x * y).sum(axis=1) >= cosine
-        p, m, x, y = p[keep], m[keep], x[keep], y[keep]
+        keep = (probe_given[p] * member_given[m]).sum(axis=1) / (length_p[p] * length_m[m]) >= cosine
+        p, m = p[keep], m[keep]
         if not len(p):
             return
-        gaps = (x - y) ** 2
+        gaps = (probes[p] - members[m]) ** 2
         keep = gaps[:, a:b].sum(axis=1) <= budget
         for (s, e), own in zip(shape.borders[:block], shape.budgets):
             keep &= gaps[:, s:e].sum(axis=1) > own
@@ -302,7 +320,7 @@ def found_links(reps: DataFrame, cosine: float, block_dims: int, chunk: int) ->
         .select(
             "dims", "block", "cell", F.when(F.col("probe"), F.col("own")).otherwise(F.col("to") - 1).alias("p_chunk"),
             F.when(F.col("probe"), F.col("to") - 1).otherwise(F.col("own")).alias("m_chunk"),
-            "probe", "rep", "copies", "turned")
+            "probe", "rep", "copies", "turned", "given")
     )
 
     def run(group: pa.Table) -> pa.Table:
@@ -311,8 +329,8 @@ def found_links(reps: DataFrame, cosine: float, block_dims: int, chunk: int) ->
 
         def pick(mask):
             part = group.filter(pa.array(mask))
-            turned = np.frombuffer(b"".join(part["turned"].to_pylist())).reshape(-1, dims)
-            return turned, part["rep"].to_numpy(), part["copies"].to_numpy()
+            turned, given = (unpacked(part[name].to_pylist(), dims) for name in ("turned", "given"))
+            return turned, given, part["rep"].to_numpy(), part["copies"].to_numpy()
 
         counts, edges = join_cell(*pick(~side), *pick(side), shapes[dims], block, cosine)
         reps_, links_, others = [*counts, *[e[0] for e in edges]], list(counts.values()), [e[1] for e in edges]
@@ -334,7 +352,7 @@ def linked(
     reps = materialise(
         rows.where("same IS NOT NULL").groupBy("same").agg(
             F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dims").alias("dims"),
-            F.first("turned").alias("turned")), "distinct_vectors")
+            F.first("turned").alias("turned"), F.first("given").alias("given")), "distinct_vectors")
     found = materialise(found_links(reps, cosine, block_dims, chunk), "vector_links")
     degree = found.where("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))

@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,21 +41,32 @@ INNER_TAG = -0.001
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[/!?a-z](?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>])*+>?"
     r"|[^<]+|<", re.I | re.S)
 _NAME = re.compile(r"</?([a-z][a-z0-9-]*)", re.I)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?\s*([\w-]+)""", re.I)
+_MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK_WORD = re.compile(r"[\w-]+")
 _PARTS = re.compile(r"[a-z]+")
 
 # Elements of HTML by what they do: fixed values.
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+BLOCKS = set(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main"
+    " menu nav ol p pre section table ul".split())
+# Elements whose end tag may be left out, and the start tags that end them.
+ENDED_BY = {
+    "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+# Elements whose content is no text of the page; one that is never closed hides nothing.
+HIDDEN = {
+    name: re.compile(rf"</{name}(?=[\s/>])[^<>]*>", re.I)
+    for name in "noscript template textarea select iframe svg title".split()}
 CONTAINERS = set(
     "article aside body button dialog div fieldset figure footer form head header hgroup main menu nav ol section table td ul".split())
 # Parts of element names, classes, ids and roles that mark what is not content.
 NO_CONTENT = set(
-    "ad ads advert adverts advertisement alert aside banner breadcrumb breadcrumbs button comment comments consent contentinfo cookie"
+    "ad ads adsbygoogle advert adverts advertisement alert aside banner breadcrumb breadcrumbs button comment comments consent contentinfo cookie"
     " cookies dialog disqus fieldset footer form head header login masthead menu modal nav navbar navigation newsletter notice"
     " notices pagination popup promo related reply replies search share sharing sidebar signup social sponsor sponsored"
     " subscribe toolbar widget".split())
@@ -62,17 +74,25 @@ CONTENT = set("article main story entry post".split())
 
 
 def kind_of(tag: str) -> tuple[str, str, bool]:
-    """Element name, kind (name with its first class, id or role) and whether the tag closes."""
+    """Element name, kind (name with the class, id or role that says most) and whether the tag closes."""
     name = _NAME.match(tag)
     if not name:
         return "", "!", False
     element = name.group(1).lower()
     if tag[1] == "/":
         return element, "/" + element, True
-    mark = _MARK.search(tag)
-    return element, f"{element}.{mark.group(1).lower()}" if mark and element not in INLINE else element, False
-
-
+    if "=" not in tag:
+        return element, element, False
+    words = [w.lower() for found in _MARK.findall(tag) for w in _MARK_WORD.findall("".join(found))]
+    if not words:
+        return element, element, False
+    mark = min(words, key=named) if len(words) > 1 else words[0]
+    if len(words) > 1 and named(mark) == 0:
+        mark = next((w for w in words if named(w)), words[0])
+    return element, f"{element}.{mark}" if element not in INLINE or named(mark) < 0 else element, False
+
+
+@lru_cache(maxsize=65_536)
 def named(kind: str) -> float:
     """What the name of a container says: 1 content, -1 none, 0 nothing."""
     parts = set(_PARTS.findall(kind))
@@ -101,8 +121,10 @@ class Items:
         stack: list[tuple[str, Open]] = []
         opened: Counter = Counter()
         open_now: Open | None = None
-        for found in _TOKEN.finditer(page):
-            token = found.group()
+        unended: set[str] = set()
+        at = 0
+        while found := _TOKEN.match(page, at):
+            at, token = found.end(), found.group()
             if token[0] != "<" or len(token) == 1:
                 self.items.append(("", token, open_now))
                 continue
@@ -110,17 +132,33 @@ class Items:
                 self.items.append((found.group("raw").lower(), "", open_now))
                 continue
             element, kind, closes = kind_of(token)
-            if element in CONTAINERS:
-                if closes:
-                    while opened[element]:
-                        last = stack.pop()[0]
-                        opened[last] -= 1
-                        if last == element:
-                            break
-                else:
-                    stack.append((element, Open(kind, open_now)))
+            if element in HIDDEN and not closes and element not in unended:
+                end = None if element == "svg" and token.endswith("/>") else HIDDEN[element].search(page, at)
+                if end:
+                    at = end.end()
+                elif not token.endswith("/>"):
+                    unended.add(element)
+                if end or token.endswith("/>"):
+                    self.items.append((element, "", open_now))
+                    continue
+            if closes:
+                if element in BLOCKS and not opened[element]:
+                    while stack and stack[-1][0] in INLINE:
+                        opened[stack.pop()[0]] -= 1
+                while opened[element]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == element:
+                        break
+            else:
+                while stack and element in ENDED_BY.get(stack[-1][0], ()):
+                    opened[stack.pop()[0]] -= 1
+                whole = element in CONTAINERS
+                # Any element may be a container by its name; those of its own name in it have to be told from its end.
+                if whole or element not in VOID and not token.endswith("/>") and (named(kind) or opened[element]):
+                    stack.append((element, Open(kind, stack[-1][1] if stack else None)))
                     opened[element] += 1
-                open_now = stack[-1][1] if stack else None
+            open_now = stack[-1][1] if stack else None
             self.items.append((kind, "", open_now))
 
 

@@ -223,18 +223,39 @@ def vectors(seed=0, dims=32):
 
 
 def brute_links(table, cosine):
-    unit = {k: embeddings.unit(v) for k, v in table.items()}
+    given = {k: embeddings.scaled(v) for k, v in table.items()}
     links = {k: set() for k in table}
     groups = Union(table)
-    for i, x in unit.items():
-        for j, y in unit.items():
-            if i < j and x is not None and y is not None and len(x) == len(y) and x @ y >= cosine:
+    for i, x in given.items():
+        for j, y in given.items():
+            if i < j and x is not None and y is not None and len(x) == len(y) and (
+                    (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= cosine):
                 links[i].add(j)
                 links[j].add(i)
                 groups.join(i, j)
     return {k: len(v) for k, v in links.items()}, {k: groups.root(k) for k in table}
 
 
+def test_pairs_exactly_at_the_bound_are_linked(spark):
+    """19, 5, 3, 2, 1 has length 20: its cosine with a unit vector along the 19 is 0.95 to the last bit."""
+    rng, table = random.Random(6), {}
+    for k in range(300):
+        places = rng.sample(range(64), 5)
+        sign = rng.choice([1.0, -1.0])
+        x, y = [0.0] * 64, [0.0] * 64
+        for place, size in zip(places, (19.0, 5.0, 3.0, 2.0, 1.0)):
+            x[place] = size * sign
+        y[places[0]] = sign * rng.choice([1.0, 2.0, 7.0])
+        table |= {2 * k: x, 2 * k + 1: y}
+    df = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<float>")
+    degree, group = brute_links(table, 0.95)
+    assert all(degree[k] for k in range(0, 600, 2))
+    for block_dims in (16, 8):
+        got = {r.vec_id: r for r in embeddings.linked(df, block_dims=block_dims).collect()}
+        assert {k: r.n_links for k, r in got.items()} == degree
+        assert {k: r.component_id for k, r in got.items()} == group
+
+
 @pytest.mark.parametrize("block_dims,chunk", [(16, 32_768), (8, 9), (4, 32_768)])
 def test_vectors_equal_brute_force(spark, block_dims, chunk):
     table = vectors()

@@ -287,3 +287,15 @@ def test_licences(spark):
     assert sure == {0: "MIT", 1: "Apache-2.0", 2: "CC-BY-NC-4.0", 3: "GPL-3.0", 4: "MIT"}
     assert next(r for r in rows if r.doc_id == 0).first_line == 1
     assert licenses.found_licences(documents(spark, texts).limit(0)).collect() == []
+
+
+def test_letters_that_python_does_not_know():
+    """Unassigned code points below U+0800 as well: the library may take one for a letter that Python does not have."""
+    import struct
+
+    library, encoder = Tokenizer.from_file(WORD_FILE), bpe.WordEncoder(WORD_FILE)
+    codes = [0x558, 0x58B, 0x58C, *range(0x370, 0x800), *range(0x800, 0x30000, 41)]
+    texts = [f"a{chr(k)}b {chr(k)}" for k in codes if not 0xD800 <= k < 0xE000]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        ids = encoder.encode(text.encode())[0]
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want.ids, repr(text)
