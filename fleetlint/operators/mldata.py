@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.functions import text as tx
+from fleetlint.functions.arrays import computed_once
 from fleetlint.model import SECRET_PATTERNS
 from fleetlint.operators.sequence import number_rows
 
@@ -35,15 +36,24 @@ def grams(text: Column, n: int) -> Column:
 def contamination(docs: DataFrame, held_out: DataFrame, n: int = 8) -> DataFrame:
     """Per document with any n-gram: how many of its distinct n-grams the held-out texts contain.
 
-    The held-out side is joined by hash, the text is compared on a match.
-    Spark broadcasts it only if its size is under the session's threshold;
-    counts are combined where the documents' grams stand, before the shuffle.
+    Documents' grams leave the scan as hashes, and only those that a held-out
+    text has too: the held-out hashes are the side that is broadcast, by its
+    size, or else both sides meet as numbers. Grams as text are made once more
+    for the documents with a hit alone, to be compared exactly.
     """
-    known = held_out.select(F.explode(grams(F.col("text"), n)).alias("known")).distinct().withColumn(
-        "hash", F.xxhash64("known"))
-    own = docs.select("doc_id", F.explode(grams(F.col("text"), n)).alias("gram")).withColumn("hash", F.xxhash64("gram"))
-    joined = own.join(known, (own["hash"] == known["hash"]) & (F.col("gram") == F.col("known")), "left")
-    return joined.groupBy("doc_id").agg(F.count("known").alias("matched"), F.count(F.lit(1)).alias("total"))
+    known = held_out.select(F.explode(grams(F.col("text"), n)).alias("gram")).distinct().withColumn(
+        "hash", F.xxhash64("gram"))
+    hashes = F.transform(grams(F.col("text"), n), lambda g: F.xxhash64(g))
+    own = computed_once(docs.select("doc_id", "text"), hashes, "hashes").select("doc_id", "hashes").filter("size(hashes) > 0")
+    totals = own.groupBy("doc_id").agg(F.sum(F.size("hashes")).alias("total"))
+    hit = own.select("doc_id", F.explode("hashes").alias("hash")).join(
+        known.select("hash").distinct(), "hash", "left_semi").select("doc_id").distinct()
+    sure = docs.select("doc_id", "text").join(hit, "doc_id", "left_semi").select(
+        "doc_id", F.explode(grams(F.col("text"), n)).alias("gram")).withColumn("hash", F.xxhash64("gram")).join(
+        known, ["hash", "gram"], "left_semi")
+    matched = sure.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    return totals.join(matched, "doc_id", "left").select(
+        "doc_id", F.coalesce("matched", F.lit(0)).alias("matched"), F.col("total").cast("bigint").alias("total"))
 
 
 def hash_split(rows: DataFrame, key: str, train: int = 80, valid: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlint.functions import text as tx
 from fleetlint.sources.files import ADMITTED_DOT_DIRS, decode_files, keep_files
 
 TEMPLATES = [
@@ -65,6 +66,7 @@ TEMPLATES = [
 
 REQUIREMENTS = "numpy>=1.20\n# note\npandas\nsklearn\nscipy==1.13.0\n-r extra.txt\ntorch>=2,<3\n"
 README = "# Repo\n\nInstall, usage and example.\n"
+BARE_README = "# Repo\n\nInstall it.\n"
 
 
 def template_number(doc_id: Column) -> Column:
@@ -75,11 +77,13 @@ def template_number(doc_id: Column) -> Column:
 
 def module_path(doc_id: Column, t: Column) -> Column:
     key = doc_id.cast("string")
-    return (
+    path = (
         F.when(t == 0, F.concat(F.lit("main_"), key, F.lit(".py")))
         .when(t == 18, F.concat(F.lit("tests/test_mod_"), key, F.lit(".py")))
         .otherwise(F.concat(F.lit("src/p"), (t % 4).cast("string"), F.lit("/mod_"), key, F.lit(".py")))
     )
+    # Some repositories keep everything at the root.
+    return F.when(F.floor(doc_id / 20) % 10 == 8, tx.base_name(path)).otherwise(path)
 
 
 def template_text(doc_id: Column, t: Column) -> Column:
@@ -114,7 +118,7 @@ def repository_files(documents: DataFrame) -> DataFrame:
     cyclic = rid % 3 == 1
     packaged = rid % 2 == 1
     rows = [
-        _extra("README.md", F.when(rid % 4 == 0, long_readme).otherwise(README), rid % 2 == 0),
+        _extra("README.md", F.when(rid % 4 == 0, long_readme).when(rid % 8 == 2, BARE_README).otherwise(README), rid % 2 == 0),
         _extra("LICENSE", "MIT\n", rid % 3 == 0),
         _extra("requirements.txt", REQUIREMENTS, rid % 4 != 3),
         _extra(

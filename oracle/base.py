@@ -149,8 +149,9 @@ def ctes() -> dict[str, str]:
     out["tpl(t, code)"] = values((t, code or "") for t, code in enumerate(corpus.TEMPLATES))
     out["mods"] = f"""
         SELECT d.repo_id, d.doc_id, d.t,
-          CASE WHEN d.t=0 THEN 'main_'||doc_id||'.py' WHEN d.t=18 THEN 'tests/test_mod_'||doc_id||'.py'
-               ELSE 'src/p'||(d.t%4)||'/mod_'||doc_id||'.py' END AS path,
+          CASE WHEN d.t=0 THEN 'main_'||doc_id||'.py'
+               WHEN d.t=18 THEN (CASE WHEN repo_id%10=8 THEN '' ELSE 'tests/' END)||'test_mod_'||doc_id||'.py'
+               ELSE (CASE WHEN repo_id%10=8 THEN '' ELSE 'src/p'||(d.t%4)||'/' END)||'mod_'||doc_id||'.py' END AS path,
           (CASE WHEN d.t=17 THEN repeat('x = 1'||{NL}, (400+doc_id%800)::BIGINT) ELSE code END)
             || '# ' || replace(text, {NL}, {NL}||'# ') AS content
         FROM docs d JOIN tpl ON d.t = tpl.t"""
@@ -159,9 +160,9 @@ def ctes() -> dict[str, str]:
     def extra(path, content, cond="TRUE"):
         return f"SELECT repo_id, {quote(path)} AS path, {content} AS content FROM repos WHERE {cond}"
 
-    readme = quote(corpus.README)
+    readme = f"CASE WHEN repo_id%8=2 THEN '# Repo'||{NL}||{NL}||'Install it.'||{NL} ELSE {quote(corpus.README)} END"
     parts = [
-        extra("README.md", f"{readme} || CASE WHEN repo_id%4=0 THEN repeat('word ',40) ELSE '' END", "repo_id%2=0"),
+        extra("README.md", f"({readme}) || CASE WHEN repo_id%4=0 THEN repeat('word ',40) ELSE '' END", "repo_id%2=0"),
         extra("LICENSE", f"'MIT'||{NL}", "repo_id%3=0"),
         extra("requirements.txt", quote(corpus.REQUIREMENTS), "repo_id%4<>3"),
         extra("Dockerfile", f"CASE WHEN repo_id%4=1 THEN 'FROM python:latest'||{NL} ELSE 'FROM python:3.11'||{NL} END",
@@ -247,7 +248,9 @@ def ctes() -> dict[str, str]:
         detail="missing") + " FROM gaps WHERE missing <> ''")
     out["docnum(t, pub, documented)"] = values(DOCSTRINGS)
     out["repo_docs"] = (
-        "SELECT repo_id, coalesce(sum(pub),0)::BIGINT AS pub, coalesce(sum(documented),0)::BIGINT AS documented "
+        # Tests at the root count: two undocumented functions each.
+        "SELECT repo_id, coalesce(sum(CASE WHEN repo_id%10=8 AND mods.t=18 THEN 2 ELSE pub END),0)::BIGINT AS pub, "
+        "coalesce(sum(documented),0)::BIGINT AS documented "
         "FROM mods LEFT JOIN docnum ON mods.t = docnum.t GROUP BY repo_id")
     test = "is_python AND contains(lower(path),'test')"
     source = "is_python AND NOT contains(lower(path),'test')"
