@@ -100,6 +100,8 @@ def test_snapshot_stream_drops_repeats(spark, tmp_path):
     for _ in range(2):
         snapshots.start_recording(snapshots.read_event_stream(spark, str(folder)), log, cp).awaitTermination()
         spark.createDataFrame(rows[3:], schema).coalesce(1).write.mode("append").parquet(str(folder))
-    recorded = spark.read.schema(timeline.SNAPSHOT_SCHEMA).parquet(log)
+    recorded = snapshots.recorded(spark, log)
     assert recorded.count() == 6
+    assert snapshots.recorded(spark, log, "repeated").count() == 3
+    assert snapshots.recorded(spark, log, "late").count() == 0
     assert recorded.filter(F.col("overall_tenths") == 35).count() == 1
