@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlint.llm import site_quality, toxicity
@@ -71,6 +72,43 @@ def test_no_labels(spark):
     assert {r.predicted for r in toxicity.predictions(docs, odd).collect()} == {0}
 
 
+def set_apart(kinds, n, rng):
+    """Texts with an insult, a group's name, neither, or now and then both, which alone is toxic."""
+    docs, labels = [], []
+    for _ in range(n):
+        words = ["".join(rng.choices("abcdefgh", k=3)) + "y" for _ in range(30)]
+        r = rng.random()
+        if r < 0.48:
+            words[3] = f"insult{rng.randrange(kinds)}"
+        if 0.4 <= r < 0.88:
+            words[9] = f"group{rng.randrange(kinds)}"
+        docs.append(np.unique([h for w in words for h in toxicity.terms_of(w)[:1]]).astype(np.int32))
+        labels.append(float(0.4 <= r < 0.48))
+    return np.concatenate(docs), np.array([len(d) for d in docs]), np.array(labels)
+
+
+@pytest.mark.parametrize("kinds", [40, 1])
+def test_terms_that_are_toxic_only_together(kinds):
+    rng = random.Random(5)
+    m = toxicity.fit(*set_apart(kinds, 8000, rng))
+    flat, sizes, labels = set_apart(kinds, 2000, rng)
+    hit = np.exp(-toxicity.losses(m, flat, sizes, np.ones(len(labels)))) >= toxicity.THRESHOLD
+    assert hit[labels == 1].mean() >= 0.9 and hit[labels == 0].mean() < 0.01
+
+
+def test_sample_is_drawn_from_labels_that_have_a_document(spark):
+    docs, labels = labelled(spark, 100)
+    more = labels.unionByName(spark.range(1000, 3000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert np.array_equal(toxicity.train(docs, more, sample=80).weights, toxicity.train(docs, labels, sample=80).weights)
+
+
+def test_repeated_documents_teach_once(spark):
+    docs, labels = labelled(spark, 100)
+    twice = docs.unionByName(docs.where("doc_id < 30"))
+    a, b = toxicity.train(docs, labels), toxicity.train(twice, labels)
+    assert np.array_equal(a.terms, b.terms) and np.array_equal(a.weights, b.weights)
+
+
 def test_scores_equal_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(-1.0, np.arange(6), rng.normal(size=6), rng.normal(size=(6, 3)))
