@@ -3,7 +3,7 @@
 A document is the set of its terms: lower-cased words without the marks around
 them, and their first three to six letters, so that inflected forms share a
 term. Terms are hashed and keep a weight and a short vector each; which terms,
-from the few that tell the classes apart to all that are frequent enough, is
+from the few that tell the classes apart to those that gain beside others, is
 decided by how a machine over them does on training rows set aside. The score adds the weights of the terms
 present and, for every pair of them, the product of their vectors, so two
 terms that are harmless alone can be toxic together.
@@ -52,7 +52,9 @@ class Choice(NamedTuple):
     decay: float
 
 
-CHOICES = (Choice(15.0, 2, 1e-4), Choice(4.0, 5, 1e-4), Choice(1.0, 5, 1e-4), Choice(0.0, 8, 1e-4))
+#: What a term needs beside others, and how often terms are added so.
+PARTNER, ROUNDS = Choice(15.0, 5, 1e-4), 3
+CHOICES = (Choice(15.0, 2, 1e-4), Choice(4.0, 5, 1e-4))
 FACTORS = 4
 CACHE = 300_000
 THRESHOLD = 0.3
@@ -167,14 +169,42 @@ def losses(m: Machine, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray)
     return -np.log(np.where(labels > 0, p, 1 - p))
 
 
+def with_partners(m: Machine, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The machine's terms and those that would gain beside them.
+
+    For a term without a vector, the gradient of the loss by that vector sums
+    what the machine misses in its documents, weighed by the vectors of the
+    other terms there. Its square over its variance is a chi-square of the
+    pairs, whatever the term tells alone.
+    """
+    n = len(labels)
+    place = np.full(SPACE, -1, np.int32)
+    place[m.terms] = np.arange(len(m.terms))
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    at = place[flat]
+    known, at = owner[at >= 0], at[at >= 0]
+    p = m.scores(at, np.bincount(known, minlength=n))
+    pairs = np.zeros(SPACE)
+    for j in range(FACTORS):
+        total = np.bincount(known, m.vectors[at, j], n)
+        missed = np.bincount(flat, ((p - labels) * total)[owner], SPACE)
+        spread = np.bincount(flat, (p * (1 - p) * total * total)[owner], SPACE)
+        np.maximum(pairs, missed**2 / (spread + 1e-9), out=pairs)
+    pairs[np.bincount(flat, minlength=SPACE) < PARTNER.least_docs] = 0
+    pairs[m.terms] = 0
+    more = np.argsort(-pairs, kind="stable")[: max(0, TERMS - len(m.terms))]
+    return np.sort(np.concatenate([m.terms, more[pairs[more] >= PARTNER.least_chi]]))
+
+
 def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Machine:
     """Fit a machine to documents given as hashed terms.
 
-    A term that is toxic only beside another tells nothing alone, so terms are
-    not judged one by one alone: of the ways in ``CHOICES``, from few strong
-    terms to all that are frequent enough, the machine takes the one that does
-    best on every fifth document after a fit to the others. A wider choice
-    must be better by more than the standard error of the difference.
+    A term that is toxic only beside another may tell nothing alone. So of the
+    ways in ``CHOICES``, from few strong terms to more and weaker ones,
+    the machine takes the one that does best on every fifth document after a
+    fit to the others; then partners of the terms at hand are added, in up to
+    ``ROUNDS`` rounds, as long as that does better there. A wider choice must
+    be better by more than the standard error of the difference.
     """
     n = len(labels)
     none = Machine(bias_of(labels) if n else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
@@ -182,19 +212,38 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Machine:
         return none
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     tested = np.arange(n) % 5 == 4
-    best, least = CHOICES[0], None
+    best, least, rounds = CHOICES[0], None, 0
     if 0 < labels[tested].sum() and 0 < labels[~tested].sum() < (~tested).sum():
         of_test = tested[owner]
         rest = (flat[~of_test], sizes[~tested], labels[~tested])
+        aside = (flat[of_test], sizes[tested], labels[tested])
         owner_rest = np.repeat(np.arange(len(rest[1]), dtype=np.int32), rest[1])
-        for choice in CHOICES:
-            terms = chosen_terms(rest[0], owner_rest, rest[2], choice.least_chi, choice.least_docs)
-            got = losses(descend(*rest, terms, choice.decay), flat[of_test], sizes[tested], labels[tested])
+
+        def better(m: Machine) -> bool:
+            nonlocal least
+            got = losses(m, *aside)
             gain = None if least is None else least - got
-            if gain is None or gain.mean() > gain.std() / np.sqrt(len(gain)):
-                best, least = choice, got
+            if gain is not None and gain.mean() <= gain.std() / np.sqrt(len(gain)):
+                return False
+            least = got
+            return True
+
+        for choice in CHOICES:
+            m = descend(*rest, chosen_terms(rest[0], owner_rest, rest[2], choice.least_chi, choice.least_docs), choice.decay)
+            if better(m):
+                best, machine = choice, m
+        for _ in range(ROUNDS):
+            machine = descend(*rest, with_partners(machine, *rest), best.decay)
+            if not better(machine):
+                break
+            rounds += 1
     terms = chosen_terms(flat, owner, labels, best.least_chi, best.least_docs)
-    return descend(flat, sizes, labels, terms, best.decay) if len(terms) else none
+    if not len(terms):
+        return none
+    m = descend(flat, sizes, labels, terms, best.decay)
+    for _ in range(rounds):
+        m = descend(flat, sizes, labels, with_partners(m, flat, sizes, labels), best.decay)
+    return m
 
 
 def held_out(doc_id: Column) -> Column:
