@@ -2,9 +2,8 @@
 
 A document is the set of its terms: lower-cased words without the marks around
 them, and their first three to six letters, so that inflected forms share a
-term. Terms are hashed and keep a weight and a short vector each; which terms,
-from the few that tell the classes apart to those that gain beside others, is
-decided by how a machine over them does on training rows set aside. The score adds the weights of the terms
+term. Terms are hashed; those that tell the classes apart in the training rows,
+alone or beside others, keep a weight and a short vector each. The score adds the weights of the terms
 present and, for every pair of them, the product of their vectors, so two
 terms that are harmless alone can be toxic together.
 
@@ -25,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +40,9 @@ SAMPLE = 8_000
 SPACE = 1 << 20
 #: Most terms of a machine; beyond it those with the larger chi-square stay.
 TERMS = 1 << 16
-
-
-class Choice(NamedTuple):
-    """Terms of at least this chi-square with the label and so many documents, and the decay of their weights."""
-
-    least_chi: float
-    least_docs: int
-    decay: float
-
-
-#: What a term needs beside others, and how often terms are added so.
-PARTNER, ROUNDS = Choice(15.0, 5, 1e-4), 3
-CHOICES = (Choice(15.0, 2, 1e-4), Choice(4.0, 5, 1e-4))
+#: Chi-square and documents that a term needs alone, and beside other terms; how often terms are added so.
+ALONE, BESIDE, ROUNDS = (15.0, 2), (15.0, 5), 3
+DECAY = 1e-4
 FACTORS = 4
 CACHE = 300_000
 THRESHOLD = 0.3
@@ -100,16 +88,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def chosen_terms(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, least_chi: float, least_docs: int) -> np.ndarray:
-    """The terms of enough documents whose presence has at least this chi-square with the label; the largest first."""
+def chosen_terms(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The terms of enough documents that tell the classes apart alone, by chi-square."""
     n, pos = len(labels), labels.sum()
     seen = np.bincount(flat, minlength=SPACE).astype(float)
     bad = np.bincount(flat, weights=labels[owner], minlength=SPACE)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * (bad * n - seen * pos) ** 2 / (seen * (n - seen) * pos * (n - pos))
-    chi[(seen < least_docs) | ~np.isfinite(chi)] = -1
+    chi[(seen < ALONE[1]) | ~np.isfinite(chi)] = -1
     order = np.argsort(-chi, kind="stable")[:TERMS]
-    return np.sort(order[chi[order] >= least_chi])
+    return np.sort(order[chi[order] >= ALONE[0]])
 
 
 def bias_of(labels: np.ndarray) -> float:
@@ -118,8 +106,7 @@ def bias_of(labels: np.ndarray) -> float:
 
 
 def descend(
-    flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, terms: np.ndarray, decay: float,
-    epochs: int = 30, seed: int = 7,
+    flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, terms: np.ndarray, epochs: int = 30, seed: int = 7,
 ) -> Machine:
     """A machine over these terms, by mini-batches with AdaGrad."""
     n = len(labels)
@@ -147,8 +134,8 @@ def descend(
             v = m.vectors[f]
             sums = np.stack([np.bincount(row, v[:, j], len(rows)) for j in range(FACTORS)], axis=1)
             pull = miss[row][:, None] * (sums[row] - v)
-            d_w = np.bincount(f, miss[row], len(terms)) + decay * m.weights
-            d_v = np.stack([np.bincount(f, pull[:, j], len(terms)) for j in range(FACTORS)], axis=1) + decay * m.vectors
+            d_w = np.bincount(f, miss[row], len(terms)) + DECAY * m.weights
+            d_v = np.stack([np.bincount(f, pull[:, j], len(terms)) for j in range(FACTORS)], axis=1) + DECAY * m.vectors
             g_bias += miss.sum() ** 2
             g_w += d_w**2
             g_v += d_v**2
@@ -190,21 +177,20 @@ def with_partners(m: Machine, flat: np.ndarray, sizes: np.ndarray, labels: np.nd
         missed = np.bincount(flat, ((p - labels) * total)[owner], SPACE)
         spread = np.bincount(flat, (p * (1 - p) * total * total)[owner], SPACE)
         np.maximum(pairs, missed**2 / (spread + 1e-9), out=pairs)
-    pairs[np.bincount(flat, minlength=SPACE) < PARTNER.least_docs] = 0
+    pairs[np.bincount(flat, minlength=SPACE) < BESIDE[1]] = 0
     pairs[m.terms] = 0
     more = np.argsort(-pairs, kind="stable")[: max(0, TERMS - len(m.terms))]
-    return np.sort(np.concatenate([m.terms, more[pairs[more] >= PARTNER.least_chi]]))
+    return np.sort(np.concatenate([m.terms, more[pairs[more] >= BESIDE[0]]]))
 
 
 def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Machine:
     """Fit a machine to documents given as hashed terms.
 
-    A term that is toxic only beside another may tell nothing alone. So of the
-    ways in ``CHOICES``, from few strong terms to more and weaker ones,
-    the machine takes the one that does best on every fifth document after a
-    fit to the others; then partners of the terms at hand are added, in up to
-    ``ROUNDS`` rounds, as long as that does better there. A wider choice must
-    be better by more than the standard error of the difference.
+    A term that is toxic only beside another may tell nothing alone. So the
+    machine starts from the terms that do; then partners of the terms at hand
+    are added, in up to ``ROUNDS`` rounds, as long as a machine fitted to four
+    of five documents gains by them on the fifth, by more than the standard
+    error of the difference.
     """
     n = len(labels)
     none = Machine(bias_of(labels) if n else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
@@ -212,37 +198,26 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Machine:
         return none
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     tested = np.arange(n) % 5 == 4
-    best, least, rounds = CHOICES[0], None, 0
+    rounds = 0
     if 0 < labels[tested].sum() and 0 < labels[~tested].sum() < (~tested).sum():
         of_test = tested[owner]
         rest = (flat[~of_test], sizes[~tested], labels[~tested])
         aside = (flat[of_test], sizes[tested], labels[tested])
-        owner_rest = np.repeat(np.arange(len(rest[1]), dtype=np.int32), rest[1])
-
-        def better(m: Machine) -> bool:
-            nonlocal least
+        m = descend(*rest, chosen_terms(rest[0], np.repeat(np.arange(len(rest[1]), dtype=np.int32), rest[1]), rest[2]))
+        least = losses(m, *aside)
+        while rounds < ROUNDS:
+            m = descend(*rest, with_partners(m, *rest))
             got = losses(m, *aside)
-            gain = None if least is None else least - got
-            if gain is not None and gain.mean() <= gain.std() / np.sqrt(len(gain)):
-                return False
-            least = got
-            return True
-
-        for choice in CHOICES:
-            m = descend(*rest, chosen_terms(rest[0], owner_rest, rest[2], choice.least_chi, choice.least_docs), choice.decay)
-            if better(m):
-                best, machine = choice, m
-        for _ in range(ROUNDS):
-            machine = descend(*rest, with_partners(machine, *rest), best.decay)
-            if not better(machine):
+            gain = least - got
+            if gain.mean() <= gain.std() / np.sqrt(len(gain)):
                 break
-            rounds += 1
-    terms = chosen_terms(flat, owner, labels, best.least_chi, best.least_docs)
+            least, rounds = got, rounds + 1
+    terms = chosen_terms(flat, owner, labels)
     if not len(terms):
         return none
-    m = descend(flat, sizes, labels, terms, best.decay)
+    m = descend(flat, sizes, labels, terms)
     for _ in range(rounds):
-        m = descend(flat, sizes, labels, with_partners(m, flat, sizes, labels), best.decay)
+        m = descend(flat, sizes, labels, with_partners(m, flat, sizes, labels))
     return m
 
 
