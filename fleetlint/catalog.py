@@ -138,6 +138,15 @@ def _(f):
     return src.tree_entries(f.files)
 
 
+@query("s1_load_trees")
+def _(f):
+    """The file table written as trees to the shared folder and loaded from there."""
+    folder = scratch_path(f.spark, "trees")
+    src.write_trees(f.files, folder)
+    return src.load_trees(f.spark, parent=folder).select(
+        "repo_name", "path", "is_python", "loc", F.md5("content").alias("digest"))
+
+
 @query("s2_skip_rules")
 def _(f):
     return src.keep_files(f.raw).select("repo_id", "path", "size_bytes")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,116 +12,104 @@ from pyspark.sql import functions as F
 from fleetlint.functions import text as tx
 from fleetlint.model import IGNORE_DIRS, IGNORE_EXTENSIONS, MAX_FILE_BYTES
 from fleetlint.session import ship
+from fleetlint.sources.trees import TreeSource, storage_of
 
-LISTING_SCHEMA = "root string, path string, is_dir boolean, size_bytes bigint"
-CONTENT_SCHEMA = "root string, path string, size_bytes bigint, content binary"
+CONTENT_SCHEMA = "root string, path string, size_bytes bigint, content binary, error string"
 
 # Dot directories that hold files the rules look for.
 ADMITTED_DOT_DIRS = (".github",)
 
 
-def _list_dir(root: str, path: str) -> Iterator[tuple[str, str, bool, int]]:
-    try:
-        entries = list(os.scandir(os.path.join(root, path) if path else root))
-    except OSError:
-        return
-    for entry in entries:
-        child = f"{path}/{entry.name}" if path else entry.name
-        try:
-            if entry.is_dir():
-                if not entry.is_symlink():
-                    yield root, child, True, 0
-            else:
-                yield root, child, False, entry.stat().st_size
-        except OSError:
-            continue
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.record_batch(
-        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()),
-         pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
-        names=["root", "path", "is_dir", "size_bytes"],
-    )
-
-
-def _lister(skip_dirs: frozenset, admit: frozenset, deep: bool):
-    """One level (or, with ``deep``, the whole rest) below each directory row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for item in batch.to_pylist():
-                if not item["is_dir"]:
-                    rows.append((item["root"], item["path"], False, item["size_bytes"]))
-                    continue
-                todo = [item["path"]]
-                while todo:
-                    for row in _list_dir(item["root"], todo.pop()):
-                        name = row[1].rsplit("/", 1)[-1]
-                        if row[2] and name not in admit and (name in skip_dirs or name.startswith(".")):
-                            continue
-                        if row[2] and deep:
-                            todo.append(row[1])
-                        else:
-                            rows.append(row)
-                        if len(rows) >= 10_000:
-                            yield _batch(rows)
-                            rows = []
-        if rows:
-            yield _batch(rows)
-
-    return run
-
-
 def list_trees(
-    spark: SparkSession, roots: list[str], admit_dirs=ADMITTED_DOT_DIRS, fan_out: int = 2
+    spark: SparkSession, roots: list[str] | None = None, parent: str | None = None, admit_dirs=ADMITTED_DOT_DIRS,
 ) -> DataFrame:
-    """Every file below the given repository roots (a shared file system).
+    """Every file below the given repository roots, or below all subfolders of ``parent``:
+    ``root, path, size_bytes, error``. Ignored directories are never entered.
 
-    Spark's own file index hides names that start with ``_`` or ``.``, so it
-    would lose ``__init__.py`` and ``.gitignore``. Here the first levels are
-    listed one at a time and redistributed, so that one very large tree is
-    walked by many tasks; ignored directories are never entered.
+    A folder or link that cannot be read is a row with an error.
     """
     ship(spark)
-    skip, admit = frozenset(IGNORE_DIRS), frozenset(admit_dirs)
-    level = spark.createDataFrame([(r.rstrip("/"), "", True, 0) for r in roots], LISTING_SCHEMA)
-    tasks = spark.sparkContext.defaultParallelism
-    for step in range(fan_out + 1):
-        level = level.repartition(tasks, "root", "path").mapInArrow(
-            _lister(skip, admit, deep=step == fan_out), LISTING_SCHEMA
-        )
-    return level.filter(~F.col("is_dir")).drop("is_dir")
+    spark.dataSource.register(TreeSource)
+    reader = spark.read.format(TreeSource.name()).option("skip", json.dumps(IGNORE_DIRS)).option(
+        "admit", json.dumps(list(admit_dirs))).option("splits", str(spark.sparkContext.defaultParallelism))
+    if roots is not None:
+        reader = reader.option("roots", json.dumps(roots))
+    if parent is not None:
+        reader = reader.option("parent", parent)
+    return reader.load()
 
 
 def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item in batch.to_pylist():
+            data = error = None
             try:
-                with open(os.path.join(item["root"], item["path"]), "rb") as handle:
+                system, base = storage_of(item["root"])
+                with system.open_input_stream(f"{base}/{item['path']}", compression=None) as handle:
                     data = handle.read()
-            except OSError:
-                continue
+            except OSError as failed:
+                error = str(failed)
             yield pa.record_batch(
-                [pa.array([item["root"]]), pa.array([item["path"]]),
-                 pa.array([item["size_bytes"]], pa.int64()), pa.array([data], pa.binary())],
-                names=["root", "path", "size_bytes", "content"],
+                [pa.array([item["root"]]), pa.array([item["path"]]), pa.array([item["size_bytes"]], pa.int64()),
+                 pa.array([data], pa.binary()), pa.array([error], pa.string())],
+                names=["root", "path", "size_bytes", "content", "error"],
             )
 
 
-def load_trees(spark: SparkSession, roots: list[str], admit_dirs=ADMITTED_DOT_DIRS) -> DataFrame:
-    """``source_files`` of local trees; skip rules run before any file is opened."""
-    listed = keep_files(list_trees(spark, roots, admit_dirs), admit_dirs)
-    tasks = spark.sparkContext.defaultParallelism
-    raw = listed.repartition(tasks, "root", "path").mapInArrow(_read_bytes, CONTENT_SCHEMA)
+def read_listed(listed: DataFrame) -> DataFrame:
+    """Add ``content`` to listed files; where a file cannot be read it is null and ``error`` says why."""
+    spark = listed.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    read = listed.filter("error IS NULL").repartition(tasks, "root", "path").mapInArrow(_read_bytes, CONTENT_SCHEMA)
+    return read.unionByName(listed.filter("error IS NOT NULL"), allowMissingColumns=True)
+
+
+def read_trees(
+    spark: SparkSession, roots: list[str] | None = None, parent: str | None = None, admit_dirs=ADMITTED_DOT_DIRS,
+) -> DataFrame:
+    """Files of trees with their bytes, and rows with ``error`` for what could not be listed or read.
+
+    Skip rules run before any file is opened.
+    """
+    return read_listed(keep_files(list_trees(spark, roots, parent, admit_dirs), admit_dirs))
+
+
+def load_trees(
+    spark: SparkSession, roots: list[str] | None = None, admit_dirs=ADMITTED_DOT_DIRS, parent: str | None = None,
+) -> DataFrame:
+    """``source_files`` of trees on any storage; ``read_trees`` has what could not be read as well."""
+    raw = read_trees(spark, roots, parent, admit_dirs).filter("error IS NULL")
     named = raw.withColumn("repo_name", tx.base_name(F.col("root"))).withColumn(
         "repo_id", F.xxhash64("root")
     )
     return decode_files(named)
 
 
+def _write_files(parent: str):
+    """Write each row's text below ``parent``; a repeated task writes the same files over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = storage_of(parent)
+        for batch in batches:
+            for name, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo_name", "path", "content"))):
+                if ".." in f"{name}/{path}".split("/") or "/" in name:
+                    raise ValueError(f"{name}: {path} leads out of its tree")
+                target = f"{base}/{name}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target, compression=None) as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_trees(files: DataFrame, parent: str) -> int:
+    """Write a file table as trees, one folder per repository name; gives the number of files."""
+    ship(files.sparkSession)
+    wrote = files.select("repo_name", "path", "content").mapInArrow(_write_files(parent), "n bigint")
+    return wrote.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def tree_entries(files: DataFrame) -> DataFrame:
     """Files and directories of the trees in a file table: ``repo_id, path, is_dir, depth, n_files, total_bytes``.
 

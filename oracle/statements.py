@@ -168,6 +168,7 @@ def _finals() -> dict[str, str]:
           SELECT repo_id, array_to_string(parts[1:k], '/') AS path, size_bytes FROM (
             SELECT repo_id, size_bytes, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS k
             FROM files)) GROUP BY repo_id, path"""
+    s["s1_load_trees"] = "SELECT repo_name, path, is_python, loc, md5(content) AS digest FROM files"
     s["s2_skip_rules"] = "SELECT repo_id, path, size_bytes FROM files"
     s["s2_skip_rules_all_dot_dirs"] = "SELECT repo_id, path, size_bytes FROM kept_strict"
     ignored = (f"len(list_filter(string_split(dir,'/'), lambda d: (d IN {names(model.IGNORE_DIRS)} OR starts_with(d, '.'))"

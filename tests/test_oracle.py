@@ -13,7 +13,7 @@ from check import TABLES, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = [
-    "rule_sec_secret", "rule_arch_circ", "rule_doc_lowdocstrings", "s2_skip_rules", "s5_calls", "a2_category_scores",
+    "s1_load_trees", "rule_sec_secret", "rule_arch_circ", "rule_doc_lowdocstrings", "s2_skip_rules", "s5_calls", "a2_category_scores",
     "a8_summaries", "w2_changes", "t2_first_findings", "u1_all_findings", "r12_rebuilt_files", "g5_decisions",
     "g7_verdicts", "j11_compare_findings", "k4_report_lines",
 ]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fleetlint.operators import timeline
 from fleetlint.plans import report
 from fleetlint.plans.audit import Audit
-from fleetlint.sources.files import load_trees, source_lines
+from fleetlint.sources.files import list_trees, load_trees, read_listed, read_trees, source_lines, write_trees
+from fleetlint.sources.trees import TreeReader
 from fleetlint.streaming import arrivals, snapshots
 
 
@@ -32,6 +33,43 @@ def test_load_trees(spark, tmp_path):
     assert strict == set(rows) - {".github/workflows/ci.yml"}
 
 
+def test_what_cannot_be_read_is_a_row(spark, tmp_path):
+    (tmp_path / "r" / "src").mkdir(parents=True)
+    (tmp_path / "r" / "src" / "a.py").write_text("x = 1\n")
+    (tmp_path / "r" / "gone.py").symlink_to(tmp_path / "nowhere")
+    rows = {(r.root[len(str(tmp_path)):], r.path): r for r in
+            read_trees(spark, [str(tmp_path / "r"), f"file://{tmp_path}/none"]).collect() if r.root.startswith("/")}
+    assert rows["/r", "src/a.py"].content == b"x = 1\n" and rows["/r", "src/a.py"].error is None
+    assert rows["/r", "gone.py"].error and rows["/r", "gone.py"].content is None
+    missing = read_trees(spark, [f"file://{tmp_path}/none"]).collect()
+    assert len(missing) == 1 and missing[0].path == "" and "none" in missing[0].error
+    assert load_trees(spark, [str(tmp_path / "r")]).count() == 1
+    vanished = spark.createDataFrame([(str(tmp_path / "r"), "src/b.py", 3, None)], list_trees(spark, []).schema)
+    assert [(r.content, bool(r.error)) for r in read_listed(vanished).collect()] == [(None, True)]
+    assert list_trees(spark, []).collect() == []
+
+
+def test_trees_are_dealt_to_tasks(tmp_path):
+    for k in range(40):
+        folder = tmp_path / "big" / "src" / f"p{k}" / "q"
+        folder.mkdir(parents=True)
+        (folder / "m.py").write_text("")
+        (tmp_path / "big" / f"top{k}.py").write_text("")
+    reader = TreeReader({"parent": str(tmp_path), "splits": "8"})
+    parts = reader.partitions()
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(parts) == 8 and len(rows) == len({r[1] for r in rows}) == 80
+    assert max(sum(1 for _ in reader.read(p)) for p in parts) <= 12
+
+
+def test_written_trees_are_read_back(spark, fleet_of, tmp_path):
+    files = fleet_of({"r": {"a.py": "x = 1\n", ".gitignore": "é\n", "p/__init__.py": ""}, "s": {"_b.py": "y"}})
+    assert write_trees(files, f"file://{tmp_path}/t") == 4 == write_trees(files, f"file://{tmp_path}/t")
+    back = load_trees(spark, parent=f"file://{tmp_path}/t").select("repo_name", "path", "content", "loc", "is_python")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, files.select(*back.columns).collect()))
+    assert write_trees(files.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_lines(spark, fleet_of):
     files = fleet_of({"r": {"a": "x\r\ny\rz\n\n", "b": "", "c": "\n", "d": "q"}})
     got = [(r.path, r.line_no, r.text) for r in source_lines(files).collect()]
