@@ -13,7 +13,7 @@ from fleetlint.functions import text as tx
 from fleetlint.model import (
     ACCURACY_WORDS, CLASSIFIERS, CV_WORDS, LICENSES, MANIFESTS, ROBUST_METRICS, RULE_IDS, SPLIT_CALL,
 )
-from fleetlint.operators import explore, facts, mldata, repair, scoring, timeline, verdict
+from fleetlint.operators import explore, fact_store, facts, mldata, repair, scoring, timeline, verdict
 from fleetlint.operators.rules import structure
 from fleetlint.operators.rules import UserRule
 from fleetlint.operators.rules.hits import hit, imports_mention, is_test_path
@@ -182,6 +182,29 @@ def _(f):
         *[F.size(c).alias(f"n_{c}") for c in ("calls", "scopes", "imports", "defs", "handlers", "fstrings")])
 
 
+@query("s5_stored_facts")
+def _(f):
+    """Facts by way of a store that two scans filled: Python files of odd repositories, then all."""
+    store = fact_store.FactStore(f.spark, scratch_path(f.spark, "facts"))
+    code = src.python_files(f.files)
+    store.add(code.filter("repo_id % 2 = 1"), "odd")
+    store.add(code, "all")
+    return store.facts_of(code).select(
+        "repo_id", "path", "parse_ok",
+        *[F.size(c).alias(f"n_{c}") for c in ("calls", "scopes", "imports", "defs", "handlers", "fstrings")])
+
+
+@query("s5_parsed_once")
+def _(f):
+    """Texts parsed by a scan, by the same scan later, and by a scan of the same files under other paths."""
+    store = fact_store.FactStore(f.spark, scratch_path(f.spark, "facts"), want=("imports",))
+    code = src.python_files(f.files)
+    moved = code.withColumn("path", F.concat(F.lit("moved/"), "path"))
+    added = [store.add(rows, name).agg(F.lit(name).alias("scan"), F.count(F.lit(1)).alias("parsed"))
+             for name, rows in (("first", code), ("again", code), ("moved", moved))]
+    return reduce(DataFrame.unionByName, added)
+
+
 @query("s5_defs")
 def _(f):
     return facts.fact_view(f.facts, "defs")

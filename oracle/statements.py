@@ -189,6 +189,10 @@ def _finals() -> dict[str, str]:
                       "parse_ok, n_calls, n_scopes, n_imports, n_defs, n_handlers, n_fstrings")
         + f" UNION ALL SELECT repo_id, path, {zero} FROM files WHERE ends_with(path,'/__init__.py')"
         + " UNION ALL " + _cyclic(one_import, one_import))
+    s["s5_stored_facts"] = s["s5_fact_counts"]
+    s["s5_parsed_once"] = (
+        "SELECT 'first' AS scan, count(DISTINCT content)::BIGINT AS parsed FROM files WHERE ends_with(path, '.py')"
+        " UNION ALL SELECT 'again', 0 UNION ALL SELECT 'moved', 0")
     s["s5_defs"] = _per_template(
         "t, name, line, has_docstring, typed_args, typed_return, mutable_defaults, complexity, asserts_or_calls", DEFS,
         "'function' AS kind, name, line, has_docstring, typed_args, typed_return, mutable_defaults, complexity, asserts_or_calls")
