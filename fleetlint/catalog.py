@@ -15,6 +15,7 @@ from fleetlint.model import (
 )
 from fleetlint.operators import explore, fact_store, facts, mldata, repair, scoring, timeline, verdict
 from fleetlint.operators.rules import structure
+from fleetlint.operators.snapshot_log import SnapshotLog
 from fleetlint.operators.rules import UserRule
 from fleetlint.operators.rules.hits import hit, imports_mention, is_test_path
 from fleetlint.operators.rules.ml import early_fits
@@ -244,6 +245,18 @@ def _(f):
         "repo_id", "snapshot_id", "overall_tenths", "total_issues", "fixes_applied")
 
 
+@query("k1_compacted_log")
+def _(f):
+    """Eight scans, each recorded twice, in a log that puts folders together beyond four."""
+    log = SnapshotLog(f.spark, scratch_path(f.spark, "log"), folders=4)
+    for part in range(8):
+        for _again in range(2):
+            log.commit(f.snapshots.filter(F.col("snapshot_id") % 8 == part), f"part-{part}")
+    return log.read().select(
+        "repo_id", "snapshot_id", "scan_id", "overall_tenths",
+        F.try_element_at("category_scores", F.lit("Security")).alias("security"))
+
+
 @query("k1_card_timeline")
 def _(f):
     """From a scan's scorecards to the timeline."""

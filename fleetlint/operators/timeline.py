@@ -64,6 +64,11 @@ def read_snapshots(spark: SparkSession, path: str, repo_id: int | None = None) -
     log = spark.read.schema(SNAPSHOT_SCHEMA + ", scan_id string, snapshot_date date").parquet(path)
     if repo_id is not None:
         log = log.filter(F.col("repo_id") == repo_id)
+    return decoded_scores(log)
+
+
+def decoded_scores(log: DataFrame) -> DataFrame:
+    """Add the scores by category; unreadable JSON gives an empty map."""
     decoded = F.from_json("category_scores_json", "map<string,double>")
     return log.withColumn("category_scores", F.coalesce(decoded, F.create_map().cast("map<string,double>")))
 

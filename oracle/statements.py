@@ -208,6 +208,9 @@ def _finals() -> dict[str, str]:
         "scope_kind, scope_line, uses_pipeline::BOOLEAN AS uses_pipeline, line, func_name, item_idx, in_body")
     s["s6_python_files"] = "SELECT repo_id, path, loc FROM py"
     s["k1_append_snapshots"] = "SELECT repo_id, snapshot_id, overall_tenths, total_issues, fixes_applied FROM snap"
+    s["k1_compacted_log"] = """
+        SELECT repo_id, snapshot_id, 'part-'||(snapshot_id%8) AS scan_id, overall_tenths,
+          CASE WHEN snapshot_id%50<>0 THEN overall_tenths::DOUBLE END AS security FROM snap"""
     s["k1_card_timeline"] = "SELECT repo_id, 'v1' AS version, overall_tenths, total_issues, 8 AS n_scores FROM cards"
     s["k2_read_timeline"] = """
         SELECT repo_id, snapshot_id, (CASE WHEN snapshot_id%50=0 THEN 0 ELSE 1 END) AS n_scores,
