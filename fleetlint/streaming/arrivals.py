@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlint.model import RULE_IDS
 from fleetlint.operators.rules import FILE_RULES
 from fleetlint.plans.audit import hits_of, repo_rows, scan_files, to_findings
+from fleetlint.session import materialise
 
 SOURCE_SCHEMA = (
     "repo_id bigint, repo_name string, path string, content string, size_bytes bigint, "
@@ -18,7 +19,12 @@ SOURCE_SCHEMA = (
 # Scan rows are kept in this many folders by repository, so that a batch reads
 # back only the folders of the repositories it touched.
 BUCKETS = 256
+# A folder's rows of one batch go to this many files at most, so that the number
+# of files does not grow with the tasks of the scan.
+FILES_PER_BUCKET = 4
 WIDE_RULES = [r for r in RULE_IDS if r not in FILE_RULES]
+# What only the rules of single files look at.
+FILE_COLUMNS = ["hits", "parse_ok", "error_line", "error_text", "fact_errors"]
 
 
 def latest_rows(rows: DataFrame) -> DataFrame:
@@ -43,8 +49,9 @@ def start_scan(spark: SparkSession, source: str, out: str, checkpoint: str, **tr
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows_path = f"{out}/scan/batch_id={batch_id}"
         bucket = F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).cast("int")
-        scan_files(batch).withColumn("repo_bucket", bucket).write.mode("overwrite").partitionBy(
-            "repo_bucket").parquet(rows_path)
+        part = F.pmod(F.xxhash64("path"), F.lit(FILES_PER_BUCKET))
+        scan_files(batch).withColumn("repo_bucket", bucket).repartition("repo_bucket", part).write.mode(
+            "overwrite").partitionBy("repo_bucket").parquet(rows_path)
         fresh = spark.read.parquet(rows_path)
         of_files = to_findings(hits_of(fresh, None, list(FILE_RULES)))
         touched = fresh.select("repo_id").distinct()
@@ -52,8 +59,10 @@ def start_scan(spark: SparkSession, source: str, out: str, checkpoint: str, **tr
         folders = [r[0] for r in fresh.select("repo_bucket").distinct().collect()]
         so_far = spark.read.schema(
             T.StructType([*fresh.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{out}/scan")
-        known = latest_rows(
-            so_far.filter((F.col("batch_id") <= batch_id) & F.col("repo_bucket").isin(folders)).join(touched, "repo_id", "left_semi"))
+        # Five steps read these rows, none of them the hits of single files.
+        known = materialise(latest_rows(
+            so_far.filter((F.col("batch_id") <= batch_id) & F.col("repo_bucket").isin(folders)).drop(
+                *FILE_COLUMNS).join(touched, "repo_id", "left_semi")), "known")
         of_repos = to_findings(hits_of(known, repo_rows(known), WIDE_RULES))
         of_files.withColumn("scope", F.lit("file")).unionByName(
             of_repos.withColumn("scope", F.lit("repository"))
