@@ -13,6 +13,7 @@ from fleetlint.functions import text as tx
 from fleetlint.functions.arrays import computed_once
 from fleetlint.model import SECRET_PATTERNS
 from fleetlint.operators.sequence import number_rows
+from fleetlint.session import materialise
 
 
 def bucket(key: Column, salt: str = "", buckets: int = 100) -> Column:
@@ -38,16 +39,18 @@ def contamination(docs: DataFrame, held_out: DataFrame, n: int = 8) -> DataFrame
 
     Documents' grams leave the scan as hashes, and only those that a held-out
     text has too: the held-out hashes are the side that is broadcast, by its
-    size, or else both sides meet as numbers. Grams as text are made once more
-    for the documents with a hit alone, to be compared exactly.
+    size, or else both sides meet as numbers. One pass gives totals and hits.
+    Grams as text are made once more for the documents with a hit alone, to be
+    compared exactly.
     """
     known = held_out.select(F.explode(grams(F.col("text"), n)).alias("gram")).distinct().withColumn(
         "hash", F.xxhash64("gram"))
     hashes = F.transform(grams(F.col("text"), n), lambda g: F.xxhash64(g))
     own = computed_once(docs.select("doc_id", "text"), hashes, "hashes").select("doc_id", "hashes").filter("size(hashes) > 0")
-    totals = own.groupBy("doc_id").agg(F.sum(F.size("hashes")).alias("total"))
-    hit = own.select("doc_id", F.explode("hashes").alias("hash")).join(
-        known.select("hash").distinct(), "hash", "left_semi").select("doc_id").distinct()
+    held = known.select("hash").distinct().withColumn("held", F.lit(True))
+    totals = materialise(own.select("doc_id", F.explode("hashes").alias("hash")).join(held, "hash", "left").groupBy(
+        "doc_id").agg(F.count(F.lit(1)).alias("total"), F.count("held").alias("hits")), "gram_totals")
+    hit = totals.filter("hits > 0").select("doc_id")
     sure = docs.select("doc_id", "text").join(hit, "doc_id", "left_semi").select(
         "doc_id", F.explode(grams(F.col("text"), n)).alias("gram")).withColumn("hash", F.xxhash64("gram")).join(
         known, ["hash", "gram"], "left_semi")

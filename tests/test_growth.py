@@ -52,3 +52,18 @@ def test_stream_scan_writes_few_files_per_folder(spark, tmp_path, settings):
     found = arrivals.current_findings(spark, out)
     assert found.filter("rule_id = 'QUAL-MUT'").count() == 24
     assert found.filter("rule_id = 'DOC-NOREADME'").count() == 1
+
+
+def test_contamination_makes_the_grams_of_all_documents_once(spark, tmp_path, monkeypatch):
+    words = "a b c d e f g h i j"
+    spark.createDataFrame([(1, words), (1, "x " + words), (2, "too short"), (None, words), (3, None)],
+                          "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    made = []
+    once = mldata.materialise
+    monkeypatch.setattr(mldata, "materialise", lambda df, name: made.append(name) or once(df, name))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    held = spark.createDataFrame([(1, "b c d e f g h i")], "item_id bigint, text string")
+    found = mldata.contamination(docs, held)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert made == ["gram_totals"] and text.count("text#") and text.count(str(tmp_path / "docs")[-20:]) <= 1
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 2, 7), (None, 0, 3)]
