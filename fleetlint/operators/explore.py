@@ -136,11 +136,11 @@ def _digest(tag: str) -> list:
 def rewritten_files(before: DataFrame, rewritten: DataFrame) -> DataFrame:
     """Which of the rewritten files are new and which replace another text.
 
-    Keys come first: only the files that were rewritten are hashed at all.
+    Texts are hashed where they are read; only keys and digests are shuffled.
     """
     keys = ["repo_id", "path"]
     new = rewritten.select(*keys, *_digest("after"))
-    old = before.join(new.select(*keys), keys, "left_semi").select(*keys, *_digest("before"))
+    old = before.select(*keys, *_digest("before"))
     change = F.when(F.col("before").isNull(), "added").when(F.col("before") != F.col("after"), "modified")
     return new.join(old, keys, "left").select(*keys, change.alias("change")).filter("change is not null")
 

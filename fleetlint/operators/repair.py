@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fleetlint.functions import text as tx
 from fleetlint.functions.arrays import built_once, explode_once, let
 from fleetlint.model import MIN_PROPOSAL_CONFIDENCE_PCT, MIT_TEXT, RULES
+from fleetlint.session import materialise
 
 # Rule -> edit, in the order the edits are applied to one line.
 LINE_FIXES = {
@@ -425,11 +426,10 @@ def accepted_proposals(proposals: DataFrame, findings: DataFrame) -> DataFrame:
 def proposal_patches(accepted: DataFrame, files: DataFrame) -> DataFrame:
     """Patches from proposals, where the text differs from the file.
 
-    Files are reduced to those of a proposal by their keys first, and only
-    length and digest of their texts meet the proposals.
+    Only length and digest of the files' texts meet the proposals: both are told
+    where a file is read, so no text is shuffled.
     """
-    keys = accepted.select("repo_id", "path").distinct()
-    marks = files.join(keys, ["repo_id", "path"], "left_semi").select(
+    marks = files.select(
         "repo_id", "path", F.octet_length("content").alias("size"), F.xxhash64("content").alias("digest"))
     same = (F.octet_length("replacement_code") == F.col("size")) & (F.xxhash64("replacement_code") == F.col("digest"))
     return accepted.join(marks, ["repo_id", "path"]).filter(~same).select(
@@ -441,10 +441,14 @@ def proposal_patches(accepted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_originals(patches: DataFrame, files: DataFrame) -> DataFrame:
-    """Whole-file patches with the text that they replace, empty for new files."""
+    """Whole-file patches with the text that they replace, empty for new files.
+
+    The keys of proposals are few. They are written, so that the join with the
+    files is planned by their size and does not shuffle all texts for them.
+    """
     new = F.col("rule_id").isin(*CREATE_FIXES)
     proposed = patches.filter(~new)
-    keys = proposed.select("repo_id", "path").distinct()
+    keys = materialise(proposed.select("repo_id", "path").distinct().coalesce(1), "proposal_keys")
     texts = files.join(keys, ["repo_id", "path"], "left_semi").select("repo_id", "path", F.col("content").alias("original_code"))
     return proposed.join(texts, ["repo_id", "path"], "left").fillna("", ["original_code"]).unionByName(
         patches.filter(new).withColumn("original_code", F.lit("")))

@@ -111,7 +111,8 @@ class Repair:
     @cached_property
     def repaired_files(self) -> DataFrame:
         """The changed files with all ``source_files`` columns."""
-        names = self.audit.repos.select("repo_id", "repo_name")
+        # Written, so that the join is planned by their size: the texts stay where they are.
+        names = materialise(self.audit.repos.select("repo_id", "repo_name").coalesce(1), "names")
         return decode_files(self.repaired.join(names, "repo_id").withColumn(
             "size_bytes", F.octet_length("content").cast("bigint")))
 
