@@ -55,7 +55,11 @@ class Fleet:
         """The fleet's file table, written once as a real fleet would have it."""
         made = corpus.source_files(self.spark, self.dir)
         tasks = self.spark.sparkContext.defaultParallelism
-        return materialise(made.repartition(tasks, "repo_id", "path"), "source_files")
+        # Only a table of few splits is dealt anew; else texts stay with the tasks that read
+        # them, and the number of files grows with the table.
+        if self.table("documents").rdd.getNumPartitions() < 3 * tasks:
+            made = made.repartition(tasks, "repo_id", "path")
+        return materialise(made, "source_files")
 
     @cached_property
     def audit(self) -> plan.Audit:

@@ -82,6 +82,17 @@ def test_texts_of_few_files_are_not_shuffled(spark, fleet_of, tmp_path):
     assert [(r.repo_name, r.loc) for r in again.repaired_files.collect()] == [("a", 1)]
 
 
+def test_a_table_of_many_splits_keeps_its_tasks(spark, tmp_path, settings):
+    settings(spark__sql__files__openCostInBytes="1k", spark__sql__files__maxPartitionBytes="1k")
+    for name, parts in (("many", 16), ("few", 2)):
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+        docs.coalesce(1).repartition(parts).write.parquet(str(tmp_path / name / "documents.parquet"))
+    many = catalog.Fleet(spark, str(tmp_path / "many")).files
+    assert len(many.inputFiles()) > 3 * spark.sparkContext.defaultParallelism
+    few = catalog.Fleet(spark, str(tmp_path / "few")).files
+    assert many.exceptAll(few).count() == 0 and many.count() == few.count() > 400
+
+
 def test_stream_scan_writes_few_files_per_folder(spark, tmp_path, settings):
     settings(spark__sql__files__openCostInBytes="1k", spark__sql__files__maxPartitionBytes="1k")
     rows = [(1, "r", f"src/m{k}.py", "def f(a=[]):\n    return a\n", 28, True, 2) for k in range(24)]
