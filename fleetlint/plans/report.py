@@ -145,13 +145,14 @@ def _write_ordered(rows: DataFrame, path: str, order: list[str], buckets: int) -
     """Rows in order, in ``buckets`` folders by hash of the repository, which stays a column.
 
     A folder per repository would be millions of tiny files; the hash lets a
-    reader of one repository open a single folder.
+    reader of one repository open a single folder. JSON repeats its names in
+    every row, so the files are compressed.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucketed = rows.withColumn("bucket", _bucket(F.col("repo_id"), buckets))
     keys = ["bucket", *order]
     (bucketed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-     .write.option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").json(path))
+     .write.option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").json(path, compression="gzip"))
 
 
 def _bucket(repo_id, buckets: int):

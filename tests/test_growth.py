@@ -42,6 +42,17 @@ def stored(spark, files, tmp_path):
     return spark.read.parquet(str(tmp_path / "files"))
 
 
+def test_export_is_compressed(spark, tmp_path):
+    rows = spark.range(3000).select(
+        (F.col("id") % 7).alias("repo_id"), F.lit("finding").alias("section"), F.col("id").cast("string").alias("key"),
+        F.to_json(F.struct(F.lit("Missing file").alias("title"), F.col("id"))).alias("json"))
+    report.write_diagnosis(rows, str(tmp_path / "out"))
+    assert glob.glob(str(tmp_path / "out" / "bucket=*" / "*.json.gz"))
+    assert not glob.glob(str(tmp_path / "out" / "bucket=*" / "*.json"))
+    back = report.read_diagnosis(spark, str(tmp_path / "out"), "finding")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_comparing_rewritten_files_moves_digests_only(spark, fleet_of, tmp_path, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     files = stored(spark, fleet_of({"a": {"a.py": "x = 1\n", "b.py": "y = 1\n", "c.py": "z = 1\n"}}), tmp_path)
