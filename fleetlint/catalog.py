@@ -851,7 +851,7 @@ def _(f):
     lines = tx.split_lines(F.col("text"))
     return f.table("documents").select(
         "doc_id", F.size(lines).alias("n_lines"), tx.count_lines(F.col("text")).alias("counted"),
-        F.element_at(lines, 1).alias("first_line"), F.element_at(lines, -1).alias("last_line"))
+        F.try_element_at(lines, F.lit(1)).alias("first_line"), F.try_element_at(lines, F.lit(-1)).alias("last_line"))
 
 
 @query("f2_text")
